@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.operators.grid import regular_grid, seconds_to_us
 from rillframe.operators.intervals import merge_intervals
+from rillframe.operators.spikes import SpikeModel, flag_implausible
 from rillframe.sources.tables import table
 
 GRID_US = 100_000
 GRID_CARRY_US = 500_000
+MAX_G = 16.0
+MAX_RAD_S = math.radians(2000.0)
+FRAME_CLOCK = SpikeModel(clock=True, longest_spike=None, shortest_run=2)
 
 
 def bounded_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,3 +45,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "imu_sample").select("stream_id", "host_time_s", "gx", "ax")
     grid = regular_grid(rows, entity=["stream_id"], time_us=seconds_to_us(F.col("host_time_s")), values=["gx", "ax"], width_us=GRID_US, max_gap_us=GRID_CARRY_US)
     return grid.where(F.col("status") != "observed").select("stream_id", "slot")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible ax and gz readings per stream, and frame times per recording."""
+    imu = flag_implausible(table(spark, folder, "imu_sample"), source="stream_id", seq="sample", bounds={"ax": MAX_G, "gz": MAX_RAD_S})
+    frames = flag_implausible(table(spark, folder, "sync_log"), source="recording_id", seq="frame", bounds={"t_left_us": float("inf")}, model=FRAME_CLOCK)
+    rows = imu.withColumn("table_name", F.lit("imu_sample")).unionByName(frames.withColumn("table_name", F.lit("sync_log")))
+    return rows.select("table_name", F.col("source").alias("source_id"), "seq", "field")
