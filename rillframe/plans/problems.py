@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillframe.operators.grid import regular_grid, seconds_to_us
 from rillframe.operators.intervals import merge_intervals
 from rillframe.operators.spikes import SpikeModel, flag_implausible
+from rillframe.operators.units import LENGTH_NAMES, LENGTHS, SQUARE_NAMES, convert, parse_quantity, stated_in_text, unit_by_size, unit_of_name
 from rillframe.sources.tables import table
 
 GRID_US = 100_000
@@ -53,3 +54,52 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     frames = flag_implausible(table(spark, folder, "sync_log"), source="recording_id", seq="frame", bounds={"t_left_us": float("inf")}, model=FRAME_CLOCK)
     rows = imu.withColumn("table_name", F.lit("imu_sample")).unionByName(frames.withColumn("table_name", F.lit("sync_log")))
     return rows.select("table_name", F.col("source").alias("source_id"), "seq", "field")
+
+
+# True sizes in millimetres, and what a note speaks of.
+SQUARE_MM = (20.0, 60.0)
+BASELINE_MM = (50.0, 90.0)
+BY_SIZE = ("m", "mm", "cm", "um", "in")
+ABOUT_T = r"(?<!\p{L})t(?!\p{L})|translation|extrinsics|offset between eyes,"
+ABOUT_SQUARE = r"square size|squares|feldgröße"
+
+
+def p2_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every calibration's t in metres and square size in millimetres, with the units they came in.
+
+    Repeated rows of a calibration count once. Where no unit is stated and none fits the size, unit and
+    result are null. Broken JSON states nothing beyond what can be read of it.
+    """
+    rows = table(spark, folder, "calibrations").select("calib_id", "convention", "t", "baseline", "notes").dropDuplicates(["calib_id"])
+    field = lambda path: F.get_json_object("notes", path)
+    text = F.coalesce(field("$.note"), F.lit(""))
+    number, own_unit = parse_quantity(field("$.board.square_mm"), LENGTH_NAMES)
+    rows = rows.withColumns({"square": number, "__own": own_unit})
+    stated = F.coalesce("__own", unit_of_name(field("$.board.unit"), LENGTH_NAMES), stated_in_text(text, ABOUT_SQUARE, LENGTH_NAMES))
+    rows = rows.withColumn("square_unit", F.when(F.col("square").isNotNull(), F.coalesce(stated, unit_by_size(F.col("square"), *SQUARE_MM, "mm", BY_SIZE, LENGTHS))))
+    rows = convert(rows, value="square", unit="square_unit", target="mm", out="square_mm", edges=LENGTHS)
+
+    any_unit = {**LENGTH_NAMES, **SQUARE_NAMES}
+    length = F.coalesce("baseline", F.sqrt(F.aggregate(F.filter("t", lambda v: v.isNotNull()), F.lit(0.0), lambda acc, v: acc + v * v)))
+    convention = unit_of_name(F.regexp_extract("convention", r"\(t in (.*)\)", 1), any_unit)
+    stated_t = F.coalesce(convention, unit_of_name(field("$.translation_units"), any_unit), unit_of_name(field("$.t_unit"), any_unit), stated_in_text(text, ABOUT_T, any_unit))
+    as_squares = F.when((length * F.col("square_mm")).between(*BASELINE_MM), F.lit("square"))
+    by_size = F.coalesce(unit_by_size(length, *BASELINE_MM, "mm", BY_SIZE, LENGTHS), as_squares)
+    rows = rows.withColumn("t_unit", F.when(F.col("t").isNotNull() & (F.size("t") > 0), F.coalesce(stated_t, by_size)))
+    # A square is a unit of its own record: an edge to millimetres with the record's factor.
+    in_mm = F.transform("t", lambda v: v * F.col("square_mm"))
+    rows = rows.withColumns({"__t": F.when(F.col("t_unit") == "square", in_mm).otherwise(F.col("t")), "__u": F.when(F.col("t_unit") == "square", F.lit("mm")).otherwise(F.col("t_unit"))})
+    rows = rows.withColumnRenamed("__u", "__from")
+    rows = convert(rows, value="__t", unit="__from", target="m", out="t_m", edges=LENGTHS)
+    return rows.select("calib_id", "t_unit", "t_m", "square_unit", "square_mm")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields that aren't in the common unit, and the unit they are in."""
+    rows = p2_units(spark, folder)
+    each = F.array(
+        F.struct(F.lit("t").alias("field"), F.when(F.col("t_unit") != "m", F.col("t_unit")).alias("unit")),
+        F.struct(F.lit("square_mm").alias("field"), F.when(F.col("square_unit") != "mm", F.col("square_unit")).alias("unit")),
+    )
+    rows = rows.select("calib_id", F.explode(F.filter(each, lambda x: x["unit"].isNotNull())).alias("x"))
+    return rows.select("calib_id", "x.field", "x.unit")
