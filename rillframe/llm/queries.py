@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rillframe.llm.nearest import nearest_in_time
 from rillframe.llm.phrases import command_of
 from rillframe.llm.runs import collapse_runs
+from rillframe.llm.segmentation import sentence_units
 from rillframe.sources.tables import table
 
 NEAREST_US = 10_000
@@ -52,3 +53,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of at least two triggers of one command."""
     runs = p4_runs(spark, folder).where((F.col("n") >= 2) & ~F.startswith("label", F.lit("?")))
     return runs.select("recording_id", F.col("first_event").alias("first_trigger_id"), F.col("n").alias("n_triggers"), F.col("duration").alias("duration_us"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentence units of every document."""
+    units = sentence_units(table(spark, folder, "documents"), doc_id="doc_id", text="text", lang="lang")
+    return units.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
