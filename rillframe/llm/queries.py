@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillframe.llm.leaks import find_leaks
 from rillframe.llm.nearest import nearest_in_time
 from rillframe.llm.phrases import command_of
 from rillframe.llm.runs import collapse_runs
@@ -59,3 +60,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every document."""
     units = sentence_units(table(spark, folder, "documents"), doc_id="doc_id", text="text", lang="lang")
     return units.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold evaluation items, with alignment score and longest exact run."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return find_leaks(docs, items, doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the evaluation items they hold."""
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
