@@ -4,6 +4,6 @@ from __future__ import annotations
 
 from rillframe.llm import queries
 
-QUERIES = {name: getattr(queries, name) for name in ("p1_found", "p4_runs", "p4_found", "p7_leaks", "p7_found", "p9_found")}
+QUERIES = {name: getattr(queries, name) for name in ("p1_found", "p4_runs", "p4_found", "p7_leaks", "p7_found", "p8_mix", "p8_shares", "p9_found")}
 
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm.leaks import find_leaks
+from rillframe.llm.mixing import Mix, mix_sources, token_count
 from rillframe.llm.nearest import nearest_in_time
 from rillframe.llm.phrases import command_of
 from rillframe.llm.runs import collapse_runs
@@ -71,3 +72,18 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the evaluation items they hold."""
     return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def _mix(spark: SparkSession, folder: str) -> Mix:
+    docs = table(spark, folder, "documents")
+    return mix_sources(docs, table(spark, folder, "mix_targets"), doc_id="doc_id", source="source", size=token_count(F.col("text")))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source gives to the largest mix that meets all targets, in tokens."""
+    return _mix(spark, folder).report
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of that mix and how often each is used."""
+    return _mix(spark, folder).selection
