@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from rillframe.plans import problems
+from rillframe.plans import clock, events, expressions, joins, motion, problems, statistics
+from rillframe.plans.registry import Query
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "split_plan"
 
-QUERIES = {name: getattr(problems, name) for name in ("p2_units", "p2_found", "p3_found", "p5_found", "p6_grid", "p6_found")}
+REGISTRIES = (clock.query, joins.query, events.query, statistics.query, expressions.query, motion.query, problems.query)
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: f for r in REGISTRIES for name, f in r.queries.items()}
+
+ORACLES: dict[str, str] = {name: sql for r in REGISTRIES for name, sql in r.sql.items()}

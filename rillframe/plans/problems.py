@@ -11,8 +11,11 @@ from rillframe.operators.grid import regular_grid, seconds_to_us
 from rillframe.operators.intervals import merge_intervals
 from rillframe.operators.spikes import SpikeModel, flag_implausible
 from rillframe.operators.units import LENGTH_NAMES, LENGTHS, SQUARE_NAMES, convert, parse_quantity, stated_in_text, unit_by_size, unit_of_name
+from rillframe.plans.registry import Registry
 from rillframe.sources.tables import table
 
+query = Registry()
+
 GRID_US = 100_000
 GRID_CARRY_US = 500_000
 MAX_G = 16.0
@@ -27,6 +30,7 @@ def bounded_windows(spark: SparkSession, folder: str) -> DataFrame:
     return win.select("recording_id", F.lit("windows").alias("layer"), F.coalesce("start_us", "rec_start").alias("start_us"), F.coalesce("end_us", "rec_end").alias("end_us"))
 
 
+@query()
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Merged periods of windows and chunks per recording, and the gaps between them."""
     chunks = table(spark, folder, "chunks").select("recording_id", F.lit("chunks").alias("layer"), F.col("start_time_us").alias("start_us"), F.col("end_time_us").alias("end_us"))
@@ -35,12 +39,14 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("recording_id", "layer", "kind", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
 
 
+@query()
 def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every stream's gx and ax per 100 ms of host time; repeated deliveries count once."""
     rows = table(spark, folder, "imu_sample").select("stream_id", "sample", "host_time_s", "gx", "ax").dropDuplicates(["stream_id", "sample"])
     return regular_grid(rows, entity=["stream_id"], time_us=seconds_to_us(F.col("host_time_s")), values=["gx", "ax"], width_us=GRID_US, max_gap_us=GRID_CARRY_US)
 
 
+@query()
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Slots without a complete reading, filled or not."""
     rows = table(spark, folder, "imu_sample").select("stream_id", "host_time_s", "gx", "ax")
@@ -48,6 +54,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.where(F.col("status") != "observed").select("stream_id", "slot")
 
 
+@query()
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Implausible ax and gz readings per stream, and frame times per recording."""
     imu = flag_implausible(table(spark, folder, "imu_sample"), source="stream_id", seq="sample", bounds={"ax": MAX_G, "gz": MAX_RAD_S})
@@ -64,6 +71,7 @@ ABOUT_T = r"(?<!\p{L})t(?!\p{L})|translation|extrinsics|offset between eyes,"
 ABOUT_SQUARE = r"square size|squares|feldgröße"
 
 
+@query()
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     """Every calibration's t in metres and square size in millimetres, with the units they came in.
 
@@ -94,6 +102,7 @@ def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("calib_id", "t_unit", "t_m", "square_unit", "square_mm")
 
 
+@query()
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The fields that aren't in the common unit, and the unit they are in."""
     rows = p2_units(spark, folder)
