@@ -147,6 +147,8 @@ def flag_sequence(seq: np.ndarray, x: np.ndarray, scale: float, bound: float, m:
         before, after = sides(r)
         # Times of a clock have no common level, so a deviation counts in whichever direction it goes.
         z = beyond_sides(r, before, after, same_sign=False) * (m.threshold / scale)
+        if n > 1 and r[0] <= after[0]:
+            z[0] = 0.0  # with nothing before it, a first time is wrong only if the clock runs back after it
         p_equal = 1e-9
     else:
         before, after = sides(x)

@@ -23,6 +23,45 @@ MAX_RAD_S = math.radians(2000.0)
 FRAME_CLOCK = SpikeModel(clock=True, longest_spike=None, shortest_run=2)
 
 
+P3_SQL = """
+with v as (select recording_id, 'windows' as layer, coalesce(start_us, r.start_time_us) as s, coalesce(end_us, r.end_time_us) as e from windows left join recordings r using (recording_id)
+ union all select recording_id, 'chunks', start_time_us, end_time_us from chunks),
+x as (select *, max(e) over (partition by recording_id, layer order by s, e rows between unbounded preceding and 1 preceding) as pe from v where e >= s),
+y as (select *, sum(case when pe is null or s > pe then 1 else 0 end) over (partition by recording_id, layer order by s, e rows unbounded preceding) as g from x),
+p as (select recording_id, layer, g, min(s) as s, max(e) as e from y group by all)
+select recording_id, layer, 'period' as kind, s as start_us, e as end_us from p
+union all select * from (select recording_id, layer, 'gap', e, lead(s) over (partition by recording_id, layer order by s) as n from p) where n is not null"""
+
+P6_SQL = """
+with r as (select stream_id, floor(floor(host_time_s * 1e6) / 100000)::bigint as slot, ax is not null and not isnan(ax) and gx is not null and not isnan(gx) as ok from imu_sample where host_time_s is not null),
+g as (select stream_id, unnest(range(min(slot), max(slot) + 1)) as slot from r group by 1)
+select stream_id, slot from g where not exists (select 1 from r where r.stream_id = g.stream_id and r.slot = g.slot and ok)"""
+
+
+def _p5_values(field: str, bound: str) -> str:
+    """The rule for values by medians of five on either side, without a model."""
+    return f"""
+select 'imu_sample' as table_name, source_id, seq, '{field}' as field from (
+ with v as (select distinct stream_id as source_id, sample as seq, {field} as v from imu_sample where {field} is not null and not isnan({field})),
+ m as (select *, median(v) over (w rows between 5 preceding and 1 preceding) as b, median(v) over (w rows between 1 following and 5 following) as a, lag(v) over (w) as p from v window w as (partition by source_id order by seq)),
+ z as (select *, median(abs(v - (b + a) / 2)) over (partition by source_id) / 0.6745 as scale, case when b is null then abs(v - a) when a is null then abs(v - b) when sign(v - b) = sign(v - a) then least(abs(v - b), abs(v - a)) else 0 end as d,
+  sum(case when v = p then 0 else 1 end) over (partition by source_id order by seq) as same from m),
+ s as (select *, abs(v) <= {bound} and d > 10 * scale as far, row_number() over (partition by source_id order by seq) as n from z),
+ t as (select *, count(*) over (partition by source_id, same) as run, sum(case when far then 0 else 1 end) over (partition by source_id order by seq) as calm from s),
+ u as (select *, sum(case when far then 1 else 0 end) over (partition by source_id, calm) as far_run from t)
+ select source_id, seq from u where abs(v) > {bound} or (far and far_run <= 2) or (v = p and run >= 10))"""
+
+
+P5_SQL = f"""
+{_p5_values("ax", "16")} union all {_p5_values("gz", "radians(2000)")} union all
+select 'sync_log', source_id, seq, 't_left_us' from (
+ with v as (select distinct recording_id as source_id, frame as seq, t_left_us as t from sync_log where t_left_us is not null),
+ d as (select *, lag(t) over (w) as p, seq - lag(seq) over (w) as df from v window w as (partition by source_id order by seq)),
+ r as (select *, t / median(case when df = 1 and t > p then t - p end) over (partition by source_id) - seq as r from d),
+ m as (select *, median(r) over (w rows between 5 preceding and 1 preceding) as b, median(r) over (w rows between 1 following and 5 following) as a from r window w as (partition by source_id order by seq))
+ select source_id, seq from m where t = p or case when b is null then r - a when a is null then abs(r - b) else least(abs(r - b), abs(r - a)) end > 2)"""
+
+
 def bounded_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows with open bounds replaced by the start and end of their recording."""
     rec = table(spark, folder, "recordings").groupBy("recording_id").agg(F.min("start_time_us").alias("rec_start"), F.max("end_time_us").alias("rec_end"))
@@ -30,7 +69,7 @@ def bounded_windows(spark: SparkSession, folder: str) -> DataFrame:
     return win.select("recording_id", F.lit("windows").alias("layer"), F.coalesce("start_us", "rec_start").alias("start_us"), F.coalesce("end_us", "rec_end").alias("end_us"))
 
 
-@query()
+@query(P3_SQL)
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Merged periods of windows and chunks per recording, and the gaps between them."""
     chunks = table(spark, folder, "chunks").select("recording_id", F.lit("chunks").alias("layer"), F.col("start_time_us").alias("start_us"), F.col("end_time_us").alias("end_us"))
@@ -46,7 +85,7 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid(rows, entity=["stream_id"], time_us=seconds_to_us(F.col("host_time_s")), values=["gx", "ax"], width_us=GRID_US, max_gap_us=GRID_CARRY_US)
 
 
-@query()
+@query(P6_SQL)
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Slots without a complete reading, filled or not."""
     rows = table(spark, folder, "imu_sample").select("stream_id", "host_time_s", "gx", "ax")
@@ -54,7 +93,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return grid.where(F.col("status") != "observed").select("stream_id", "slot")
 
 
-@query()
+@query(P5_SQL)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Implausible ax and gz readings per stream, and frame times per recording."""
     imu = flag_implausible(table(spark, folder, "imu_sample"), source="stream_id", seq="sample", bounds={"ax": MAX_G, "gz": MAX_RAD_S})
