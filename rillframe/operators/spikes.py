@@ -187,11 +187,14 @@ def _clean(seq: pd.Series, x: pd.Series) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, q[order], v[order]
 
 
-def _frame(parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-    """One frame of flags from arrays per field."""
-    kinds = (object, np.int64, object, object, np.float64)
+FLAG_NAMES = ("source", "seq", "field", "flag", "probability")
+FLAG_KINDS = (object, np.int64, object, object, np.float64)
+
+
+def _frame(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = FLAG_NAMES, kinds: tuple = FLAG_KINDS) -> pd.DataFrame:
+    """One frame of arrays that come in parts."""
     cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype=k) for i, k in enumerate(kinds)]
-    return pd.DataFrame(dict(zip(("source", "seq", "field", "flag", "probability"), cols)))
+    return pd.DataFrame(dict(zip(names, cols)))
 
 
 def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[str, float], model: SpikeModel | None = None, values: Mapping[str, Column] | None = None) -> DataFrame:
@@ -226,8 +229,8 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
             off = off[(part["__own"].to_numpy()[order] == part["__block"].iloc[0]) & ~np.isnan(off)]
             bins = np.where(off > 0, np.round(np.log(np.maximum(off, 1e-30)) * BINS_PER_E), -10_000).astype(np.int64)
             b, n = np.unique(bins, return_counts=True)
-            out.append(pd.DataFrame({"__src": part["__src"].iloc[0], "__block": int(part["__block"].iloc[0]), "__f": i, "__b": b, "__n": n}))
-        return pd.concat(out) if out else pd.DataFrame({"__src": [], "__block": [], "__f": [], "__b": [], "__n": []})
+            out.append((np.full(len(b), str(part["__src"].iloc[0]), dtype=object), np.full(len(b), i, dtype=np.int32), b, n))
+        return _frame(out, ("__src", "__f", "__b", "__n"), (object, np.int32, np.int64, np.int64))
 
     names = {SPIKE: "spike", STUCK: "stuck", RANGE: "range"}
 
@@ -248,14 +251,15 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
         periods = dict.fromkeys(range(len(fields)), 2.0)
         return rows.groupBy(*keys).applyInPandas(lambda part: flags(part, periods), schema)
 
-    hist = rows.groupBy(*keys).applyInPandas(histogram, "__src string, __block long, __f int, __b long, __n long")
+    hist = rows.groupBy(*keys).applyInPandas(histogram, "__src string, __f int, __b long, __n long")
     # The median over a source's histogram: its bins are bounded in number, whatever the source's size.
     bins = hist.groupBy("__src", "__f", "__b").agg(F.sum("__n").alias("__n"))
     w = Window.partitionBy("__src", "__f")
     bins = bins.where(F.col("__b") > -10_000).withColumn("__cum", F.sum("__n").over(w.orderBy("__b"))).withColumn("__all", F.sum("__n").over(w))
     scale = bins.where(F.col("__cum") * 2 >= F.col("__all")).groupBy("__src", "__f").agg((F.exp(F.min("__b") / F.lit(float(BINS_PER_E))) / F.lit(0.6745)).alias("__scale"))
     scale = scale.groupBy("__src").agg(F.map_from_entries(F.collect_list(F.struct("__f", "__scale"))).alias("__scales"))
-    per_block = hist.select("__src", "__block").distinct().join(scale, "__src", "left")
+    blocks = rows.select(F.col("__src").alias("__s"), F.col("__block").alias("__b")).distinct()
+    per_block = blocks.join(scale.withColumnRenamed("__src", "__s"), "__s", "left")
     # Both sides of the cogroup are keyed by source and block; the rows' exchange is the one made above.
 
     def apply(part: pd.DataFrame, scales: pd.DataFrame) -> pd.DataFrame:
@@ -264,4 +268,4 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
         found = scales["__scales"].iloc[0] if len(scales) else None
         return flags(part, dict(found) if found is not None else {})
 
-    return rows.groupBy(*keys).cogroup(per_block.groupBy(*keys)).applyInPandas(apply, schema)
+    return rows.groupBy(*keys).cogroup(per_block.groupBy("__s", "__b")).applyInPandas(apply, schema)
