@@ -6,4 +6,27 @@ from rillframe.llm import queries
 
 QUERIES = {name: getattr(queries, name) for name in ("p1_found", "p4_runs", "p4_found", "p7_leaks", "p7_found", "p8_mix", "p8_shares", "p9_found")}
 
-ORACLES: dict[str, str] = {}
+P1_SQL = """
+with f as (select distinct recording_id, frame, cam_reset_perf_counter_us + t_left_us as h, imu_stream_id from sync_log join recordings using (recording_id) where t_left_us is not null),
+l as (select distinct recording_id as src, sample, host_time_us as h from imu_log where host_time_us is not null),
+s as (select distinct stream_id as src, sample, floor(host_time_s * 1e6)::bigint as h from imu_sample where host_time_s is not null),
+m as (select recording_id, frame, 'imu_log' as imu_table, sample, abs(l.h - f.h) as d, l.h as rh from f join l on l.src = f.recording_id and l.h between f.h - 10000 and f.h + 10000
+ union all select recording_id, frame, 'imu_sample', sample, abs(s.h - f.h), s.h from f join s on s.src = f.imu_stream_id and s.h between f.h - 10000 and f.h + 10000)
+select recording_id, frame, imu_table, sample from (select *, row_number() over (partition by recording_id, frame order by d, rh, sample) as n from m) where n = 1"""
+
+# Phrases are told by the least number of slips, with and without the words around them.
+P4_SQL = r"""
+with t as (select distinct recording_id, trigger_id, phrase, start_us, end_us from triggers where phrase is not null),
+p as (select distinct phrase, regexp_replace(lower(phrase), '[^\p{L}\p{M}\p{N}]+', '', 'g') as raw from t),
+q as (select phrase, raw, regexp_replace(regexp_replace(raw, '^(ok|uh|and|so|äh|eh|vale|那么|嗯|えっと|はい)', ''), '(please|now|bitte|jetzt|porfavor|ya)$', '') as bare from p),
+c as (select command_id, regexp_replace(lower(phrase), '[^\p{L}\p{M}\p{N}]+', '', 'g') as known from commands),
+k as (select phrase, arg_min(command_id, (least(damerau_levenshtein(raw, known), damerau_levenshtein(bare, known)), command_id)) as command_id from q, c where least(damerau_levenshtein(raw, known), damerau_levenshtein(bare, known)) <= 1 group by phrase),
+m as (select t.*, coalesce(k.command_id::varchar, '?' || t.phrase) as meaning from t left join k using (phrase)),
+a as (select *, case when meaning = lag(meaning) over w then 0 else 1 end as new from m window w as (partition by recording_id order by start_us, trigger_id)),
+b as (select *, sum(new) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as island from a),
+e as (select *, max(end_us) over (partition by recording_id, island order by start_us, trigger_id rows between unbounded preceding and 1 preceding) as reach from b),
+g as (select *, sum(case when start_us - reach < 1000000 then 0 else 1 end) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as run from e)
+select recording_id, arg_min(trigger_id, (start_us, trigger_id)) as first_trigger_id, count(*) as n_triggers, max(end_us) - min(start_us) as duration_us
+from g where meaning not like '?%' group by recording_id, run having count(*) >= 2"""
+
+ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL}

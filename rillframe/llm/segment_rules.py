@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 # Classes of characters.
 TERMINAL = ".!?…。！？｡．।॥؟۔‼⁇⁈⁉"
-CLOSE = "\"'”’“»›«」』）】〕》〉)\\]}"
+CLOSE = "\"'”’»›」』）】〕》〉)\\]}"
 OPEN = "\"'“‘„«‹»「『（【〔《〈(\\[{¿¡"
 EMOJI = r"(?:\p{Extended_Pictographic}[️‍\p{Emoji_Modifier}\p{Extended_Pictographic}]*)"
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}"
@@ -20,6 +20,8 @@ FILE = r"(?:[\p{L}_][\p{L}\p{N}_\-]*/)*[\p{L}_][\p{L}\p{N}_\-]+\.[\p{L}\p{N}][\p
 #: How a sentence can begin, after white space and opening marks.
 START = rf"(?:[{OPEN}]*(?:[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{N}}]|(?:{FILE})(?![\p{{L}}\p{{N}}])))"
 SPAN = 300
+#: A mark that closes; the one that also opens closes only where a low one stands open.
+CLOSER = rf"(?:[{CLOSE}]|“(?<=„[^„“”]{{0,{SPAN}}}“))"
 
 
 @dataclass(frozen=True)
@@ -49,13 +51,13 @@ COMMON_FIRST = (
     quoted("『", "』", "『』"),
     Rule(False, rf'(?:^|[\s(:：，,])"(?=\S)[^"]{{0,{SPAN}}}', rf'[^"]{{0,{SPAN}}}"'),
     # A quotation that its sentence runs on after.
-    Rule(False, f"[{CLOSE}]", r"\s*[,;:，；：、،؛]"),
+    Rule(False, CLOSER, r"\s*[,;:，；：、،؛]"),
     Rule(False, rf"(?:^|[^：:，,\p{{L}}\p{{N}}])[“「『][^“”「」『』]{{0,{SPAN}}}[”」』]", rf"[{UNSPACED}]"),
     # Within an abbreviation of several letters.
     Rule(False, r"(?<![\p{L}\p{N}])(?<!\p{N}\s)\p{L}\.", r"\s?\p{L}\."),
     # An ellipsis ends a sentence only before a capital.
-    Rule(True, f"(?:…+|\\.{{3,}})[{CLOSE}]*", rf"\s*[{OPEN}]*[\p{{Lu}}\p{{Lt}}]"),
-    Rule(False, f"(?:…+|\\.{{3,}})[{CLOSE}]*", r".|\s"),
+    Rule(True, rf"(?:…+|\.{{3,}}){CLOSER}*", rf"\s*[{OPEN}]*[\p{{Lu}}\p{{Lt}}]"),
+    Rule(False, rf"(?:…+|\.{{3,}}){CLOSER}*", r".|\s"),
 )
 
 # Abbreviations and months.
@@ -86,14 +88,14 @@ JAPANESE = (
 
 HINDI = (
     Rule(False, words("डॉ", "प्रो", "श्री", "सुश्री", "पं", "कृ", "क्र", "सं", "रु"), r"\s"),
-    Rule(True, rf"[।॥]+[{CLOSE}]*", r".|\s"),
+    Rule(True, rf"[।॥]+{CLOSER}*", r".|\s"),
 )
 
 ARABIC = (
     # Titles of one letter.
     Rule(False, r"(?<!\p{L})\p{Arabic}\.", r"\s"),
     Rule(False, words("أ.د", "ص.ب", "ق.م"), r"\s"),
-    Rule(True, rf"[؟۔][!?.؟]*[{CLOSE}]*", r"\s"),
+    Rule(True, rf"[؟۔][!?.؟]*{CLOSER}*", r"\s"),
 )
 
 THAI = (
@@ -105,16 +107,16 @@ THAI = (
 )
 
 COMMON_LAST = (
-    Rule(True, rf"[。！？｡．‼⁇⁈⁉]+[{CLOSE}]*", r".|\s"),
+    Rule(True, rf"[。！？｡．‼⁇⁈⁉]+{CLOSER}*", r".|\s"),
     Rule(True, EMOJI, rf"\s+{START}"),
-    Rule(True, rf"[!?]+[{CLOSE}]*", rf"\s+{START}|[{OPEN}]*[{UNSPACED}]"),
-    Rule(True, rf"\.[{CLOSE}]*", rf"\s+{START}"),
+    Rule(True, rf"[!?]+{CLOSER}*", rf"\s+{START}|[{OPEN}]*[{UNSPACED}]"),
+    Rule(True, rf"\.{CLOSER}*", rf"\s+{START}"),
 )
 
 TABLES: dict[str, tuple[Rule, ...]] = {"en": ENGLISH, "de": GERMAN, "es": SPANISH, "zh": CHINESE, "ja": JAPANESE, "hi": HINDI, "ar": ARABIC, "th": THAI}
 
 #: Positions worth asking the rules about: after final marks with what closes, after emoji, after a Thai word.
-CANDIDATE = rf"[{TERMINAL}]+[{CLOSE}]*(?:\s*{EMOJI})*|{EMOJI}|[\p{{Thai}}ๆฯ](?=\s)"
+CANDIDATE = rf"[{TERMINAL}]+{CLOSER}*(?:\s*{EMOJI})*|{EMOJI}|[\p{{Thai}}ๆฯ](?=\s)"
 
 #: Marks of list items, at the start of a line.
 BULLET = r"[^\S\r\n]*(?:[•‣◦▪●○·∙*–—\-])[^\S\r\n]+(?=\S)"

@@ -15,7 +15,7 @@ from rillframe.llm import segment_rules as R
 LINE = regex.compile(r"([^\r\n\x0b\x0c\u0085  ]*)(\r\n|[\r\n\x0b\x0c\u0085  ]|$)")
 BULLET, NUMBERED = regex.compile(R.BULLET), regex.compile(R.NUMBERED)
 CANDIDATE = regex.compile(R.CANDIDATE)
-ENDS = regex.compile(rf"[{R.TERMINAL}:：][{R.CLOSE}]*\s*$")
+ENDS = regex.compile(rf"[{R.TERMINAL}:：]{R.CLOSER}*\s*$")
 SCHEMA = "array<struct<start:int,end:int>>"
 
 
