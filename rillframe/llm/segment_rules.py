@@ -43,6 +43,9 @@ def words(*names: str) -> str:
     return r"(?<![\p{L}\p{N}])(?:" + "|".join(n.replace(".", r"\.").replace(" ", r"\s?") for n in names) + r")\."
 
 
+#: What follows an abbreviation, also where the space is missing.
+SOON = r"[\s\p{L}\p{N}]"
+
 COMMON_FIRST = (
     quoted("“", "”", "“”„"),
     quoted("„", "[“”]", "„“”"),
@@ -54,7 +57,7 @@ COMMON_FIRST = (
     Rule(False, CLOSER, r"\s*[,;:，；：、،؛]"),
     Rule(False, rf"(?:^|[^：:，,\p{{L}}\p{{N}}])[“「『][^“”「」『』]{{0,{SPAN}}}[”」』]", rf"[{UNSPACED}]"),
     # Within an abbreviation of several letters.
-    Rule(False, r"(?<![\p{L}\p{N}])(?<!\p{N}\s)\p{L}\.", r"\s?\p{L}\."),
+    Rule(False, r"(?<![\p{L}\p{N}.])(?<!\p{N}\s)\p{L}\.", r"\s?\p{L}\."),
     # An ellipsis ends a sentence only before a capital.
     Rule(True, rf"(?:…+|\.{{3,}}){CLOSER}*", rf"\s*[{OPEN}]*[\p{{Lu}}\p{{Lt}}]"),
     Rule(False, rf"(?:…+|\.{{3,}}){CLOSER}*", r".|\s"),
@@ -62,21 +65,21 @@ COMMON_FIRST = (
 
 # Abbreviations and months.
 ENGLISH = (
-    Rule(False, words("Mr", "Mrs", "Ms", "Dr", "Prof", "Gen", "Col", "Capt", "Lt", "St", "Rev", "Hon", "Messrs", "vs", "cf", "ca", "approx", "i.e", "e.g", "viz", "resp", "incl", "est"), r"\s"),
+    Rule(False, words("Mr", "Mrs", "Ms", "Dr", "Prof", "Gen", "Col", "Capt", "Lt", "St", "Rev", "Hon", "Messrs", "vs", "cf", "ca", "approx", "i.e", "e.g", "viz", "resp", "incl", "est"), SOON),
     Rule(False, words("No", "Nos", "Fig", "Figs", "Eq", "Eqs", "Sec", "Secs", "Ch", "Vol", "Tab", "Ref", "Refs", "Art", "Pt", "App", "ext", "p", "pp", "l", "ll", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Sept", "Oct", "Nov", "Dec"), r"\s+[\p{N}(]"),
     # Initials of names.
     Rule(False, r"(?<![\p{L}\p{N}.])(?<!\p{N}\s)\p{Lu}\.", r"\s+\p{Lu}"),
 )
 
 GERMAN = (
-    Rule(False, words("z. B", "d. h", "u. a", "u. U", "i. d. R", "z. T", "v. a", "o. g", "s. o", "s. u", "Hr", "Fr", "Dipl", "Ing", "bzw", "vgl", "evtl", "ggf", "inkl", "exkl", "ca", "sog", "bspw", "mind", "max", "zzgl", "Str"), r"\s"),
+    Rule(False, words("z. B", "d. h", "u. a", "u. U", "i. d. R", "z. T", "v. a", "o. g", "s. o", "s. u", "Hr", "Fr", "Dipl", "Ing", "bzw", "vgl", "evtl", "ggf", "inkl", "exkl", "ca", "sog", "bspw", "mind", "max", "zzgl", "Str"), SOON),
     Rule(False, words("Nr", "Abb", "Abschn", "Kap", "Bd", "Tab", "Bsp", "S", "Anm", "Gl", "Art", "Abs"), r"\s+\p{N}"),
     Rule(False, r"(?<!\p{L})\p{N}{1,2}\.", r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)(?!\p{L})"),
     Rule(False, r"(?<!\p{L})(?:am|vom|zum|zur|beim|im|ab|seit|dem|den|der|die|das|des|jede[mnrs]?|diese[mnrs]?|Am|Vom|Zum|Im|Ab|Seit|Dem|Den|Der|Die|Das|Des)\s+\p{N}{1,2}\.", r"\s+\p{L}"),
 )
 
 SPANISH = (
-    Rule(False, words("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Dres", "Prof", "Lic", "Ing", "Arq", "Ud", "Uds", "D", "Dña", "p. ej", "EE", "aprox"), r"\s"),
+    Rule(False, words("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Dres", "Prof", "Lic", "Ing", "Arq", "Ud", "Uds", "D", "Dña", "p. ej", "EE", "aprox"), SOON),
     Rule(False, words("núm", "núms", "n", "nº", "pág", "págs", "p", "pp", "fig", "figs", "cap", "vol", "art", "sec", "Núm", "Fig", "Pág", "Cap", "Sec", "tel", "Tel"), r"\s+\p{N}"),
 )
 
@@ -95,7 +98,8 @@ ARABIC = (
     # Titles of one letter.
     Rule(False, r"(?<!\p{L})\p{Arabic}\.", r"\s"),
     Rule(False, words("أ.د", "ص.ب", "ق.م"), r"\s"),
-    Rule(True, rf"[؟۔][!?.؟]*{CLOSER}*", r"\s"),
+    Rule(True, rf"[؟۔][!?.؟]*{CLOSER}*", r".|\s"),
+    Rule(True, r"\p{Arabic}{2}\.", r"\p{Arabic}"),
 )
 
 THAI = (
@@ -108,9 +112,13 @@ THAI = (
 
 COMMON_LAST = (
     Rule(True, rf"[。！？｡．‼⁇⁈⁉]+{CLOSER}*", r".|\s"),
-    Rule(True, EMOJI, rf"\s+{START}"),
-    Rule(True, rf"[!?]+{CLOSER}*", rf"\s+{START}|[{OPEN}]*[{UNSPACED}]"),
+    Rule(True, EMOJI, rf"\s+{START}|\p{{Lu}}"),
+    Rule(True, rf"[!?]+{CLOSER}*", rf"\s+{START}|[{OPEN}]*[\p{{Lu}}\p{{Lo}}]"),
     Rule(True, rf"\.{CLOSER}*", rf"\s+{START}"),
+    # Where no capital stands far and wide, case tells nothing.
+    Rule(True, rf"(?:^[^\p{{Lu}}]{{0,{SPAN}}}|[^\p{{Lu}}]{{{SPAN}}})[.!?]{CLOSER}*", rf"\s+[{OPEN}]*\p{{Ll}}(?:[^\p{{Lu}}]{{0,{SPAN}}}$|[^\p{{Lu}}]{{{SPAN}}})"),
+    # A full stop without a space: a word or number before it, a capitalised word after.
+    Rule(True, rf"(?:\p{{Ll}}{{2}}|[\p{{N}}%)\"”’]|\.m|\s\p{{Ll}})\.{CLOSER}*", rf"[{OPEN}]*\p{{Lu}}(?:[\p{{L}}\s'’]|\.\s)"),
 )
 
 TABLES: dict[str, tuple[Rule, ...]] = {"en": ENGLISH, "de": GERMAN, "es": SPANISH, "zh": CHINESE, "ja": JAPANESE, "hi": HINDI, "ar": ARABIC, "th": THAI}

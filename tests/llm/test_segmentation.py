@@ -24,6 +24,8 @@ CASES = [
     ("th", "กล้องซ้ายหยุดหลังจาก 63 นาทีแล้ว| ระยะห่างคือ 2.62 เมตรจากผนัง| ห้องครัวเสียงดังเกินไป"),
     (None, "谁换了标定板？| What a mess…|The filter flickered.| 固件v1.1已装好！|The fold took 3 s."),
     ("en", "no final mark here\n\n|A Heading\n\n|one line\nwrapped over two"),
+    ("en", "the first is lower case.| so is the second?| yes.\n\n|But 5 min. here are not."),
+    ("en", "The lens froze at 4 p.m.| J. Vaelin came.|The rest was fine!|«Quite so.»| Dr.Irvoth left."),
     ("en", "Mixed: it was “done. Really” they say.| Next."),
 ]
 
