@@ -29,7 +29,7 @@ def full_rate_poses(keys: DataFrame, frames: DataFrame, *, by: Sequence[str], fr
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values(time), b.sort_values(time)
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in [*by, frame, *POSE]})
+            return pd.DataFrame({c: [] for c in [*by, frame, *POSE]}, dtype=object)
         t, at = a[time].to_numpy(float), b[time].to_numpy(float)
         if (np.diff(t) <= 0).any():
             raise ValueError("key times must grow")
