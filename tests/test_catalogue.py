@@ -1,0 +1,32 @@
+"""Every core query against its SQL, on the smallest data set where there is one."""
+
+import os
+from pathlib import Path
+
+import pytest
+from oracle import connect, differences
+
+from rillframe.plans.catalogue import FLAGSHIP, ORACLES, QUERIES
+
+DATA = Path(os.environ.get("RILLFRAME_DATA", "/root/testdata")) / "sf0.001"
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(DATA)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, con, name):
+    more, fewer = differences(QUERIES[name](spark, str(DATA)), con, ORACLES[name])
+    assert not more and not fewer
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, str(DATA)).columns
+
+
+def test_flagship():
+    assert FLAGSHIP in QUERIES
