@@ -36,16 +36,15 @@ def neighbours(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_tim
     slim = rrows.repartition(*keys, "__b").groupBy(*keys, "__b", "__t").agg(F.min("__r").alias("__r"))
 
     both = lrows.select(*keys, "__b", "__t", "__l").unionByName(slim, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "__b").orderBy("__t")
-    back = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumns({"__p": F.last("__r", ignorenulls=True).over(back), "__n": F.first("__r", ignorenulls=True).over(ahead)}).where("__l is not null")
+    # What follows is looked for in falling order: a frame that grows is read once, one that shrinks again and again.
+    back, ahead = (Window.partitionBy(*keys, "__b").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("__t"), F.desc("__t")))
+    both = both.withColumns({"__p": F.last("__r", ignorenulls=True).over(back), "__n": F.last("__r", ignorenulls=True).over(ahead)}).where("__l is not null")
 
     ends = slim.groupBy(*keys, "__b").agg(F.max("__r").alias("__hi"), F.min("__r").alias("__lo"))
     blocks = lrows.select(*keys, "__b").dropna().distinct()
     summary = blocks.join(ends, [*keys, "__b"], "full")
-    over = Window.partitionBy(*keys).orderBy("__b")
-    carried = summary.select(*keys, "__b", F.last("__hi", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__cp"), F.first("__lo", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__cn"))
+    before, after = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
+    carried = summary.select(*keys, "__b", F.last("__hi", ignorenulls=True).over(before).alias("__cp"), F.last("__lo", ignorenulls=True).over(after).alias("__cn"))
     out = both.join(carried, [*keys, "__b"], "left")
     known = F.col("__t").isNotNull()
     return out.select("__l.*", F.when(known, F.coalesce("__p", "__cp")).alias("prev"), F.when(known, F.coalesce("__n", "__cn")).alias("next"))

@@ -22,8 +22,8 @@ def resolve_chunks(windows: DataFrame, frames: DataFrame, *, by: Sequence[str],
     ends = frames.groupBy(*keys).agg(F.min(F.struct(F.col(time).alias("t"), F.col(frame).alias("f"))).alias("__first"), F.max(F.struct(F.col(time).alias("t"), F.col(frame).alias("f"))).alias("__last"))
     rows = windows.select(*keys, (F.col(start) - pad_us).alias("__from"), (F.col(end) + pad_us).alias("__to")).join(ends, keys)
     # The key frame at or after each frame is found once, by its frame number.
-    w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    snapped = frames.withColumn("__k", F.first(F.when(F.col(keyframe), F.struct(F.col(frame).alias("f"), F.col(time).alias("t"))), ignorenulls=True).over(w))
+    w = Window.partitionBy(*keys).orderBy(F.desc(frame)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    snapped = frames.withColumn("__k", F.last(F.when(F.col(keyframe), F.struct(F.col(frame).alias("f"), F.col(time).alias("t"))), ignorenulls=True).over(w))
     rows = asof(rows, snapped, by=keys, left_time="__from", right_time=time, take=["__k"], direction="forward", out="__s")
     rows = asof(rows, frames, by=keys, left_time="__to", right_time=time, take=[frame], direction="backward", out="__e")
     opened = F.col("__from").isNull()
