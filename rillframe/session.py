@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -40,3 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = os.path.join(tempfile.gettempdir(), "rillframe-checkpoints")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores.
+
+    For costly work on each row of a table that lies in few pieces. A table of many pieces, as any large
+    one, is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
