@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import normal
+from rillframe.session import spread
 
 #: Up to so many seeds are looked up where the documents are read; more of them are joined by shuffling.
 MAX_HELD_SEEDS = 2_000_000
@@ -93,7 +94,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_text:
     * Empty tables give no rows; further columns are ignored, whatever their names.
     """
     m = model or Leak()
-    docs = documents.select(F.col(doc_id).alias("__doc"), F.col(doc_text).cast("string").alias("__text")).dropna()
+    docs = spread(documents.select(F.col(doc_id).alias("__doc"), F.col(doc_text).cast("string").alias("__text")).dropna())
     held = items.select(F.col(item_id).alias("__item"), F.col(item_text).cast("string").alias("__words")).dropna().dropDuplicates(["__item"])
 
     @F.pandas_udf("struct<kind:int,grams:array<bigint>>")

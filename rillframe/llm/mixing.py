@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillframe.session import ensure_checkpoint_dir
+from rillframe.session import ensure_checkpoint_dir, spread
 
 #: The folder of the public tokenizers; a parameter wherever it is used.
 TOKENIZER = os.environ.get("RILLFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -82,7 +82,7 @@ def mix_sources(df: DataFrame, targets: DataFrame, *, doc_id: str, source: str,
         raise ValueError(f"more than {MAX_SOURCES} sources")
     share_of, cap_of = {r["source"]: r["share"] for r in wanted}, {r["source"]: r["cap"] for r in wanted}
 
-    rows = df.select(F.col(doc_id).alias("__id"), one_spelling(F.col(source)).alias("__src"), size.cast("long").alias("__size"))
+    rows = spread(df).select(F.col(doc_id).alias("__id"), one_spelling(F.col(source)).alias("__src"), size.cast("long").alias("__size"))
     names = spark.createDataFrame([(s,) for s in share_of], "__src string")
     rows = rows.where("__id is not null").join(F.broadcast(names), "__src")
     rows = rows.where("__size > 0").groupBy("__id").agg(F.max(F.struct("__size", "__src")).alias("__best")).select("__id", "__best.__src", "__best.__size")

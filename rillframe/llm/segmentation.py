@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.llm import segment_rules as R
+from rillframe.session import spread
 
 LINE = regex.compile(r"([^\r\n\x0b\x0c\u0085  ]*)(\r\n|[\r\n\x0b\x0c\u0085  ]|$)")
 BULLET, NUMBERED = regex.compile(R.BULLET), regex.compile(R.NUMBERED)
@@ -130,6 +131,6 @@ def sentence_units(df: DataFrame, *, doc_id: str, text: str, lang: str | None =
     """
     speech = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     rows = df.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"), speech.alias("__lang")).where(F.length("__text") > 0)
-    rows = rows.withColumn("__units", units_of(F.col("__text"), F.col("__lang")))
+    rows = spread(rows).withColumn("__units", units_of(F.col("__text"), F.col("__lang")))
     rows = rows.select("__id", "__text", F.explode_outer("__units").alias("__u")).where(F.col("__u").isNotNull())
     return rows.select(F.col("__id").alias(doc_id), F.col("__u.start").cast("long").alias("start"), F.col("__u.end").cast("long").alias("end"), F.substring("__text", F.col("__u.start") + 1, F.col("__u.end") - F.col("__u.start")).alias("unit"))
