@@ -2,11 +2,14 @@
 
 A quaternion is a struct w, x, y, z; a vector a struct x, y, z; a pose a struct q, t that maps world
 points into the camera: ``p_cam = R(q) p_world + t``. Everything stays inside generated code.
+
+An expression names its arguments several times, so results nested in each other grow fast: give them
+a column of their own between steps, or ``bind`` them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +17,11 @@ from pyspark.sql import functions as F
 LERP_ABOVE = 0.9995
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def quat(w: Column, x: Column, y: Column, z: Column) -> Column:
     """A quaternion of four numbers."""
     return F.struct(w.cast("double").alias("w"), x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
@@ -153,7 +161,7 @@ def pose_compose(a: Column, b: Column) -> Column:
 
 def pose_relative(a: Column, b: Column) -> Column:
     """The pose that leads from ``a`` to ``b``: ``b`` after the inverse of ``a``."""
-    return pose_compose(b, pose_inverse(a))
+    return bind(pose_inverse(a), lambda back: pose_compose(b, back))
 
 
 def camera_center(p: Column) -> Column:
@@ -169,10 +177,12 @@ def camera_forward(p: Column) -> Column:
 def pose_half(p: Column) -> Column:
     """The pose half way along the screw motion to ``p``, which applied twice is ``p``."""
     unit = quat(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    q = slerp(unit, p["q"], F.lit(0.5))
-    m = quat_to_matrix(q)
-    # (R + I) s = t
-    return pose(q, solve3([m.getItem(k) + F.lit(1.0 if k in (0, 4, 8) else 0.0) for k in range(9)], p["t"]))
+
+    def shifted(q: Column) -> Column:
+        # (R + I) s = t
+        return bind(quat_to_matrix(q), lambda m: pose(q, solve3([m.getItem(k) + F.lit(1.0 if k in (0, 4, 8) else 0.0) for k in range(9)], p["t"])))
+
+    return bind(slerp(unit, p["q"], F.lit(0.5)), shifted)
 
 
 def solve3(m: Sequence[Column], v: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from rillframe.kernels import rotations as R
-from rillframe.kernels.leastsq import fit
+from rillframe.kernels.leastsq import Factor, fit, solve_graph
 
 # The parent of each of the 16 joints, wrist first.
 PARENTS = (-1, 0, 1, 2, 0, 4, 5, 0, 7, 8, 0, 10, 11, 0, 13, 14)
@@ -61,3 +61,50 @@ def fit_stereo(left: np.ndarray, right: np.ndarray, offsets: np.ndarray, focal:
         "depth_m": float(p[0, 2]),
     }
     return x, p, measures
+
+
+def joints_of_many(offsets: np.ndarray, turns: np.ndarray, root: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Joints (n, 16, 3) of many frames: turns (n, 16, 3), roots (n, 3), and how much longer bones are than ``offsets`` (n,)."""
+    q = R.exp(turns)
+    world, out = np.zeros((len(turns), len(PARENTS), 4)), np.zeros((len(turns), len(PARENTS), 3))
+    for k, p in enumerate(PARENTS):
+        if p < 0:
+            world[:, k], out[:, k] = q[:, k], root
+        else:
+            out[:, k] = out[:, p] + R.rotate(world[:, p], size[:, None] * offsets[k])
+            world[:, k] = R.multiply(world[:, p], q[:, k])
+    return out
+
+
+def fit_track(left: np.ndarray, right: np.ndarray, times: np.ndarray, offsets: np.ndarray, focal: float, baseline: float, start: np.ndarray, smooth: tuple[float, float] = (50.0, 5.0), pull: float = 1e-2, iterations: int = 15) -> tuple[np.ndarray, float, float, float]:
+    """All frames of a hand at once: points (n, 16, 2) of both views, from single fits ``start`` (n, 51).
+
+    The bones' length is shared; second differences of wrist and turns, scaled by the steps in time, are
+    kept small by ``smooth``. Returns the states (n, 51), the bones' length, first and last cost.
+    """
+    n, joints_n = len(left), len(PARENTS)
+    states = np.zeros((n + 1, 3 + 3 * joints_n))
+    states[:n] = start
+    dims = np.full(n + 1, states.shape[1])
+    dims[n] = 1
+    seen = np.concatenate([left, right], axis=1).reshape(n, -1)
+    known = np.isfinite(seen)
+    shift = np.array([baseline, 0.0, 0.0])
+
+    def views(blocks):
+        x, s = blocks
+        p = joints_of_many(offsets, x[:, 3:].reshape(-1, joints_n, 3), x[:, :3], np.exp(s[:, 0]))
+        flat = np.concatenate([focal * (p - d)[..., :2] / np.maximum((p - d)[..., 2:], 1e-6) for d in (0, shift)], axis=1).reshape(len(x), -1)
+        return np.concatenate([np.where(known, flat - np.where(known, seen, 0.0), 0.0), pull * x[:, 6:]], axis=1)
+
+    idx = np.arange(n)
+    factors = [Factor(np.stack([idx, np.full(n, n)], axis=1), views), Factor(np.array([[n]]), lambda b: 10 * b[0][:, :1])]
+    if n >= 3:
+        step = np.diff(times)
+        ref = np.median(step)
+        weight = np.concatenate([np.full(3, smooth[0]), np.full(3 * joints_n, smooth[1])])
+        before, after = (ref / step[:-1])[:, None], (ref / step[1:])[:, None]
+        k = idx[1:-1]
+        factors.append(Factor(np.stack([k - 1, k, k + 1], axis=1), lambda b: weight * (before * (b[0] - b[1]) + after * (b[2] - b[1]))))
+    states, first, last = solve_graph(states, dims, lambda s, d: s + d, factors, iterations)
+    return states[:n], float(np.exp(states[n, 0])), first, last

@@ -104,3 +104,25 @@ def fit_rejection(min_depth: float = 0.1, max_depth: float = 2.0, min_joint_z: f
         "reprojection": F.col("mean_reproj_px") <= max_reproj_px,
         "epipolar": F.isnan("median_epipolar_px") | (F.col("median_epipolar_px") <= max_epipolar_px),
     })
+
+
+def fit_hand_tracks(df: DataFrame, *, by: Sequence[str], frame: str, time: str, left: str, right: str, offsets: np.ndarray, focal: float, baseline: float) -> DataFrame:
+    """Tracks of hands: entity, frame, ``root``, ``turns``, ``bone_length``, ``cost_before``, ``cost_after``.
+
+    Frames are fitted one by one first, then all of a track together. A track is one system of equations
+    and is solved in one task.
+    """
+    types = dict(df.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), f"{frame} {types[frame]}", "root array<double>, turns array<double>, bone_length double, cost_before double, cost_after double"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(frame)
+        a, c = (np.array([[[np.nan if v is None else v for v in p] for p in row] for row in part[n]], float) for n in (left, right))
+        start = np.stack([hand.fit_stereo(x, y, offsets, focal, baseline)[0] for x, y in zip(a, c)])
+        x, size, first, last = hand.fit_track(a, c, part[time].to_numpy(float), offsets, focal, baseline, start)
+        out = part[[*by, frame]].copy()
+        out["root"], out["turns"] = x[:, :3].tolist(), x[:, 3:].tolist()
+        out["bone_length"], out["cost_before"], out["cost_after"] = size, first, last
+        return out
+
+    return df.select(*by, frame, time, left, right).groupBy(*by).applyInPandas(run, schema)

@@ -128,3 +128,26 @@ def test_graph_as_grouped_map(spark):
     out = solve.solve_pose_graphs(spark.createDataFrame(rows), by=["rec"], baseline=0.07).toPandas().sort_values("frame")
     assert list(out["frame"]) == [0, 10, 20, 30, 40, 50]
     assert np.allclose(posegraph.center(out[list(solve.POSE)].to_numpy())[:, 0], 0.2 * np.arange(6), atol=5e-3)
+
+
+def test_hand_track(spark):
+    rng = np.random.default_rng(3)
+    base, drift = rng.normal(0, 0.15, (16, 3)), rng.normal(0, 0.01, (16, 3))
+    rows, want = [], []
+    for f in range(6):
+        root = np.array([0.02 + 0.004 * f, -0.01, 0.45])
+        p = hand.joints(offsets(), base + f * drift, root)
+        want.append(root)
+        l, r = (hand.project(p - d, 500) + rng.normal(0, 0.4, (16, 2)) for d in (0, [0.065, 0, 0]))
+        rows.append(("a", f, f / 30, l.tolist(), r.tolist()))
+    df = spark.createDataFrame(rows, "e string, f long, t double, l array<array<double>>, r array<array<double>>")
+    got = solve.fit_hand_tracks(df, by=["e"], frame="f", time="t", left="l", right="r", offsets=offsets(), focal=500, baseline=0.065).toPandas().sort_values("f")
+    assert np.allclose(np.stack(got["root"]), want, atol=0.01)
+    assert (got["cost_after"] <= got["cost_before"]).all() and abs(got["bone_length"].iloc[0] - 1) < 0.05
+
+
+def test_many_joints_agree_with_one():
+    rng = np.random.default_rng(4)
+    turns, root = rng.normal(0, 0.3, (4, 16, 3)), rng.normal(0, 1, (4, 3))
+    many = hand.joints_of_many(offsets(), turns, root, np.ones(4))
+    assert np.allclose(many, [hand.joints(offsets(), t, r) for t, r in zip(turns, root)])
