@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers that see the same file system import this package, wherever the driver was started.
+
+    On a cluster without one, send it along with ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many tasks as there are cores.
 
