@@ -20,7 +20,7 @@ with t as (select distinct recording_id, trigger_id, phrase, start_us, end_us fr
 p as (select distinct phrase, regexp_replace(nfc_normalize(lower(phrase)), '[^\p{L}\p{M}\p{N}]+', '', 'g') as raw from t),
 q as (select phrase, raw, regexp_replace(regexp_replace(raw, '^(ok|uh|and|so|äh|eh|vale|那么|嗯|えっと|はい)', ''), '(please|now|bitte|jetzt|porfavor|ya)$', '') as bare from p),
 c as (select command_id, regexp_replace(nfc_normalize(lower(phrase)), '[^\p{L}\p{M}\p{N}]+', '', 'g') as known from commands),
-k as (select phrase, arg_min(command_id, (least(damerau_levenshtein(raw, known), damerau_levenshtein(bare, known)), command_id)) as command_id from q, c where least(damerau_levenshtein(raw, known), damerau_levenshtein(bare, known)) <= 1 group by phrase),
+k as (select phrase, arg_min(command_id, (least(damerau_levenshtein(strip_accents(raw), strip_accents(known)), damerau_levenshtein(strip_accents(bare), strip_accents(known))), command_id)) as command_id from q, c where least(damerau_levenshtein(strip_accents(raw), strip_accents(known)), damerau_levenshtein(strip_accents(bare), strip_accents(known))) <= 1 group by phrase),
 m as (select t.*, coalesce(k.command_id::varchar, '?' || t.phrase) as meaning from t left join k using (phrase)),
 a as (select *, case when meaning = lag(meaning) over w then 0 else 1 end as new from m window w as (partition by recording_id order by start_us, trigger_id)),
 b as (select *, sum(new) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as island from a),
