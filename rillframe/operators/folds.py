@@ -46,7 +46,7 @@ def ordered_fold(df: DataFrame, *, by: Sequence[str], order: Sequence[str], star
 
 
 def cut(df: DataFrame, *, by: Sequence[str], time: str, gap: int, out: str = "part", block: int = 600_000_000) -> DataFrame:
-    """``df`` with ``out``: a number that grows at every row that follows the one before by ``gap`` or more.
+    """``df`` with ``out``: a number that grows at every row that follows the one before by ``gap`` or more; rows of one time share it.
 
     Entities are split by time block for this; the count of cuts in the blocks before is added up from
     one row per block.
@@ -62,7 +62,7 @@ def cut(df: DataFrame, *, by: Sequence[str], time: str, gap: int, out: str = "pa
     before = rows.groupBy(*by, "__b").agg(F.sum("__f").alias("__cuts"))
     before = before.select(*by, "__b", F.coalesce(F.sum("__cuts").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     rows = rows.join(before, [*by, "__b"])
-    return rows.withColumn(out, F.col("__base") + F.sum("__f").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("__b", "__carry", "__f", "__base")
+    return rows.withColumn(out, F.col("__base") + F.sum("__f").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__b", "__carry", "__f", "__base")
 
 
 def keep_spaced(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, span: int) -> DataFrame:

@@ -1,6 +1,7 @@
-"""Windows over ordered rows: clocks, events to windows, decimation, gaps and neighbours.
+"""Ordered rows: clocks, events to windows, decimation, gaps and neighbours.
 
-Plain window functions per entity; they sort and stream, holding no entity in memory.
+What lies before and after comes from ``operators.blocks``, so an entity is never sorted in one task.
+Rows with a null entity or leading order value are left out.
 """
 
 from __future__ import annotations
@@ -11,67 +12,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillframe.functions.geometry import lerp, slerp
+from rillframe.operators.blocks import FRAMES, TIME_US, with_neighbours, with_number, with_running
 
 
-def mark_monotonic(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str, out: str = "valid") -> DataFrame:
+def mark_monotonic(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str, out: str = "valid", block: float = FRAMES) -> DataFrame:
     """``out`` is false where the next time isn't later; the last row is always valid."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(out, F.coalesce(F.lead(time).over(w) > F.col(time), F.lit(True)))
+    rows = with_neighbours(df, by=by, order=order, take=[time], block=block, prev=None)
+    return rows.withColumn(out, F.coalesce(F.col(f"__next.{time}") > F.col(time), F.lit(True))).drop("__next")
 
 
-def increasing_run(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str) -> DataFrame:
+def increasing_run(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str, block: float = FRAMES) -> DataFrame:
     """Rows that are valid by ``mark_monotonic`` and later than all valid ones before."""
-    rows = mark_monotonic(df, by=by, order=order, time=time, out="__ok")
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    most = F.max(F.when(F.col("__ok"), F.col(time))).over(before)
-    return rows.withColumn("__most", most).where(F.col("__ok") & (F.col("__most").isNull() | (F.col(time) > F.col("__most")))).drop("__ok", "__most")
+    rows = mark_monotonic(df, by=by, order=order, time=time, out="__ok", block=block)
+    most = {"__most": ("max", F.when(F.col("__ok"), F.col(time)))}
+    rows = with_running(rows, by=by, order=order, values=most, block=block, before=True)
+    return rows.where(F.col("__ok") & (F.col("__most").isNull() | (F.col(time) > F.col("__most")))).drop("__ok", "__most")
 
 
-def repaired_timeline(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str, out: str = "time_s") -> DataFrame:
+def repaired_timeline(df: DataFrame, *, by: Sequence[str], order: Sequence[str], time: str, out: str = "time_s", block: float = FRAMES) -> DataFrame:
     """Seconds from the first row on; a step that isn't positive counts as the entity's median positive one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("__d", F.col(time) - F.lag(time).over(w))
-    median = F.median(F.when(F.col("__d") > 0, F.col("__d"))).over(Window.partitionBy(*by))
-    step = F.when(F.col("__d") > 0, F.col("__d").cast("double")).when(F.col("__d").isNotNull(), median).otherwise(0.0)
-    rows = rows.withColumn("__step", step)
-    return rows.withColumn(out, F.sum("__step").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 1e6).drop("__d", "__step")
+    rows = with_neighbours(df, by=by, order=order, take=[time], block=block, following=None)
+    rows = rows.withColumn("__d", F.col(time) - F.col(f"__prev.{time}"))
+    usual = rows.groupBy(*by).agg(F.median(F.when(F.col("__d") > 0, F.col("__d"))).alias("__median"))
+    step = F.when(F.col("__d") > 0, F.col("__d").cast("double")).when(F.col("__d").isNotNull(), F.col("__median")).otherwise(0.0)
+    rows = with_running(rows.join(usual, list(by)), by=by, order=order, values={"__sum": ("sum", step)}, block=block)
+    return rows.withColumn(out, F.col("__sum") / 1e6).drop("__prev", "__d", "__median", "__sum")
 
 
-def burst_collapse(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, gap: int) -> DataFrame:
+def burst_collapse(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, gap: int, block: float = TIME_US) -> DataFrame:
     """Events merged while each starts less than ``gap`` after the latest end: entity, ``first_event``, ``n``, start, end."""
-    w = Window.partitionBy(*by).orderBy(start, event_id)
-    rows = df.withColumn("__reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("__g", F.sum(F.when(F.col(start) - F.col("__reach") < gap, 0).otherwise(1)).over(w))
+    order = [start, event_id]
+    rows = with_running(df.select(*by, start, end, event_id), by=by, order=order, values={"__reach": ("max", F.col(end))}, block=block, before=True)
+    opens = F.when(F.col(start) - F.col("__reach") < gap, 0).otherwise(1)
+    rows = with_running(rows, by=by, order=order, values={"__g": ("sum", opens)}, block=block)
     out = rows.groupBy(*by, "__g").agg(F.min(F.struct(F.col(start), F.col(event_id))).alias("__f"), F.count(F.lit(1)).alias("n"), F.max(end).alias("__e"))
     return out.select(*by, F.col(f"__f.{event_id}").alias("first_event"), "n", F.col(f"__f.{start}").alias(start), F.col("__e").alias(end))
 
 
-def delimiter_windows(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, head: bool = False, tail: bool = False) -> DataFrame:
+def delimiter_windows(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, head: bool = False, tail: bool = False, block: float = TIME_US) -> DataFrame:
     """Windows between consecutive delimiters: entity, ``start_us`` (end of one), ``end_us`` (start of the next).
 
     ``head`` adds the stretch before the first (no start), ``tail`` the one after the last (no end).
     """
-    w = Window.partitionBy(*by).orderBy(start, event_id)
-    rows = df.select(*by, F.lag(end).over(w).alias("__prev"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.lead(start).over(w).alias("__next"))
-    cases = [F.when(F.col("__next").isNotNull() | F.lit(tail), F.struct(F.col("__e").alias("s"), F.col("__next").alias("e")))]
+    rows = with_neighbours(df.select(*by, start, end, event_id), by=by, order=[start, event_id], take=[start, end], block=block)
+    after = F.col(f"__next.{start}")
+    cases = [F.when(F.col("__next").isNotNull() | F.lit(tail), F.struct(F.col(end).alias("s"), after.alias("e")))]
     if head:
-        cases.append(F.when(F.col("__prev").isNull(), F.struct(F.lit(None).cast("long").alias("s"), F.col("__s").alias("e"))))
+        cases.append(F.when(F.col("__prev").isNull(), F.struct(F.lit(None).cast("long").alias("s"), F.col(start).alias("e"))))
     out = rows.select(*by, F.explode(F.filter(F.array(*cases), lambda x: x.isNotNull())).alias("__w"))
     return out.select(*by, F.col("__w.s").alias("start_us"), F.col("__w.e").alias("end_us"))
 
 
-def paired_windows(df: DataFrame, *, by: Sequence[str], role: str, start: str, end: str, event_id: str, extend: bool = False) -> DataFrame:
+def paired_windows(df: DataFrame, *, by: Sequence[str], role: str, start: str, end: str, event_id: str, extend: bool = False, block: float = TIME_US) -> DataFrame:
     """Windows from a start event's end to the stop event that follows it: entity, ``start_us``, ``end_us``.
 
     A second start replaces the open one, a stop without a start is ignored, and at equal times starts
     come first. ``extend`` keeps a start that no event follows as a window without an end.
     """
-    rank = F.when(F.col(role) == "start", 0).otherwise(1)
-    rows = df.where(F.col(role).isin("start", "stop"))
-    w = Window.partitionBy(*by).orderBy(F.col(start), rank, F.col(event_id))
-    rows = rows.select(*by, F.col(role).alias("__r"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.lag(F.struct(F.col(role).alias("r"), F.col(end).alias("e"))).over(w).alias("__p"), F.lead(role).over(w).alias("__n"))
-    closed = F.when((F.col("__r") == "stop") & (F.col("__p.r") == "start"), F.struct(F.col("__p.e").alias("s"), F.col("__s").alias("e")))
-    opened = F.when(F.lit(extend) & (F.col("__r") == "start") & F.col("__n").isNull(), F.struct(F.col("__e").alias("s"), F.lit(None).cast("long").alias("e")))
+    rows = df.where(F.col(role).isin("start", "stop")).select(*by, role, start, end, event_id, F.when(F.col(role) == "start", 0).otherwise(1).alias("__rank"))
+    rows = with_neighbours(rows, by=by, order=[start, "__rank", event_id], take=[role, end], block=block)
+    closed = F.when((F.col(role) == "stop") & (F.col(f"__prev.{role}") == "start"), F.struct(F.col(f"__prev.{end}").alias("s"), F.col(start).alias("e")))
+    opened = F.when(F.lit(extend) & (F.col(role) == "start") & F.col("__next").isNull(), F.struct(F.col(end).alias("s"), F.lit(None).cast("long").alias("e")))
     out = rows.select(*by, F.coalesce(closed, opened).alias("__w")).where("__w is not null")
     return out.select(*by, F.col("__w.s").alias("start_us"), F.col("__w.e").alias("end_us"))
 
@@ -97,10 +98,9 @@ def phrase_matches(words: DataFrame, *, by: Sequence[str], order: Sequence[str],
     return rows.where(F.col("__ok") & (F.col("min_probability") >= min_probability)).drop("__ok")
 
 
-def stride(df: DataFrame, *, by: Sequence[str], order: Sequence[str], every: int) -> DataFrame:
+def stride(df: DataFrame, *, by: Sequence[str], order: Sequence[str], every: int, block: float = FRAMES) -> DataFrame:
     """Every ``every``-th row, the first one included."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w) - 1).where(F.col("__n") % every == 0).drop("__n")
+    return with_number(df, by=by, order=order, block=block, out="__n").where(F.col("__n") % every == 0).drop("__n")
 
 
 def fractional_indices(count: Column, step: Column) -> Column:
@@ -121,43 +121,42 @@ def window_starts(length: Column, window: int, overlap: int) -> Column:
     return F.when(length <= window, F.array(F.lit(0).cast("long"))).when(last % step == 0, regular).otherwise(F.array_append(regular, last.cast("long")))
 
 
-def sparse_sample(df: DataFrame, *, by: Sequence[str], order: Sequence[str], every: int, out: str = "right_eye") -> DataFrame:
+def sparse_sample(df: DataFrame, *, by: Sequence[str], order: Sequence[str], every: int, out: str = "right_eye", block: float = FRAMES) -> DataFrame:
     """``out`` is true for every ``every``-th row of an entity and for its first and last."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n, last = F.row_number().over(w) - 1, F.lead(F.lit(1)).over(w).isNull()
-    return df.withColumn(out, (n % every == 0) | last)
+    rows = with_number(df, by=by, order=order, block=block, out="__n")
+    rows = with_neighbours(rows, by=by, order=order, take=["__n"], block=block, prev=None)
+    return rows.withColumn(out, (F.col("__n") % every == 0) | F.col("__next").isNull()).drop("__n", "__next")
 
 
-def accel_triples(df: DataFrame, *, by: Sequence[str], frame: str, time: str) -> DataFrame:
+def accel_triples(df: DataFrame, *, by: Sequence[str], frame: str, time: str, block: float = FRAMES) -> DataFrame:
     """Rows whose frame has both neighbours, with the times to them in terms of the entity's median step: ``prev_scale``, ``next_scale``.
 
     A step that isn't positive gives a null scale.
     """
-    w = Window.partitionBy(*by).orderBy(frame)
-    rows = df.withColumns({"__pf": F.lag(frame).over(w), "__nf": F.lead(frame).over(w), "__pt": F.lag(time).over(w), "__nt": F.lead(time).over(w)})
-    rows = rows.withColumn("__ref", F.median(F.when(F.col(frame) - F.col("__pf") == 1, F.col(time) - F.col("__pt"))).over(Window.partitionBy(*by)))
-    rows = rows.where((F.col(frame) - F.col("__pf") == 1) & (F.col("__nf") - F.col(frame) == 1))
+    rows = with_neighbours(df, by=by, order=[frame], take=[frame, time], block=block)
+    joined = F.col(frame) - F.col(f"__prev.{frame}") == 1
+    back, ahead = F.col(time) - F.col(f"__prev.{time}"), F.col(f"__next.{time}") - F.col(time)
+    usual = rows.where(joined).groupBy(*by).agg(F.median(back).alias("__ref"))
+    rows = rows.where(joined & (F.col(f"__next.{frame}") - F.col(frame) == 1)).join(usual, list(by))
     scale = lambda d: F.when(d > 0, F.col("__ref") / d)
-    return rows.withColumns({"prev_scale": scale(F.col(time) - F.col("__pt")), "next_scale": scale(F.col("__nt") - F.col(time))}).drop("__pf", "__nf", "__pt", "__nt", "__ref")
+    return rows.withColumns({"prev_scale": scale(back), "next_scale": scale(ahead)}).drop("__prev", "__next", "__ref")
 
 
-def second_difference(value: str, by: Sequence[str], order: Sequence[str], prev_scale: Column | float = 1.0, next_scale: Column | float = 1.0) -> Column:
-    """Scaled second difference of a column: ``prev_scale * (before - x) + next_scale * (after - x)``."""
-    w = Window.partitionBy(*by).orderBy(*order)
+def second_difference(df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str, prev_scale: Column | float = 1.0, next_scale: Column | float = 1.0, out: str = "second", block: float = FRAMES) -> DataFrame:
+    """``df`` with the scaled second difference ``prev_scale * (before - x) + next_scale * (after - x)``; null at the ends."""
+    rows = with_neighbours(df, by=by, order=order, take=[value], block=block)
     x = F.col(value)
-    return prev_scale * (F.lag(value).over(w) - x) + next_scale * (F.lead(value).over(w) - x)
+    return rows.withColumn(out, prev_scale * (F.col(f"__prev.{value}") - x) + next_scale * (F.col(f"__next.{value}") - x)).drop("__prev", "__next")
 
 
-def fill_gaps(df: DataFrame, *, by: Sequence[str], frame: str, time: str, vectors: Sequence[str] = (), rotations: Sequence[str] = (), values: Sequence[str] = (), longest: int) -> DataFrame:
+def fill_gaps(df: DataFrame, *, by: Sequence[str], frame: str, time: str, vectors: Sequence[str] = (), rotations: Sequence[str] = (), values: Sequence[str] = (), longest: int, block: float = FRAMES) -> DataFrame:
     """Rows of frames missing inside an entity, in gaps of at most ``longest`` frames, interpolated by time.
 
     Kept rows have ``interpolated`` false; filled ones true and ``source_frames`` of either side. Their
     time lies evenly between those of the sides. Longer gaps, and what lies outside, stay empty.
     """
-    w = Window.partitionBy(*by).orderBy(frame)
     cols = [*vectors, *rotations, *values]
-    ahead = F.lead(F.struct(frame, time, *cols)).over(w).alias("__n")
-    rows = df.select(*by, frame, time, *cols, ahead)
+    rows = with_neighbours(df.select(*by, frame, time, *cols), by=by, order=[frame], take=[frame, time, *cols], block=block, prev=None, following="__n")
     missing = F.col(f"__n.{frame}") - F.col(frame) - 1
     kept = rows.select(*by, frame, time, *cols, F.lit(False).alias("interpolated"), F.array(F.col(frame)).alias("source_frames"))
     gaps = rows.where(missing.between(1, longest)).withColumn("__f", F.explode(F.sequence(F.col(frame) + 1, F.col(f"__n.{frame}") - 1)))
@@ -187,9 +186,9 @@ def track_edges(df: DataFrame, *, by: Sequence[str], frame: str) -> DataFrame:
     return out.select(*by, "__e.*")
 
 
-def renumber(df: DataFrame, *, by: Sequence[str], order: Sequence[str], out: str = "index") -> DataFrame:
+def renumber(df: DataFrame, *, by: Sequence[str], order: Sequence[str], out: str = "index", block: float = TIME_US) -> DataFrame:
     """``out`` counts the rows of an entity from 0."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return with_number(df, by=by, order=order, block=block, out=out)
 
 
 def first_per_key(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -198,8 +197,8 @@ def first_per_key(df: DataFrame, *, keys: Sequence[str], order: Sequence[Column]
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def zip_rows(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+def zip_rows(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_order: Sequence[str], right_order: Sequence[str], block: float = TIME_US) -> DataFrame:
     """The n-th row of one side with the n-th of the other, per entity; what has no partner is left out."""
-    a = renumber(left, by=by, order=left_order, out="__n")
-    b = renumber(right, by=by, order=right_order, out="__n")
+    a = renumber(left, by=by, order=left_order, out="__n", block=block)
+    b = renumber(right, by=by, order=right_order, out="__n", block=block)
     return a.join(b, [*by, "__n"]).drop("__n")

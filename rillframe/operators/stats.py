@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillframe.operators.blocks import FRAMES, with_neighbours, with_running
 
-def median_positive_delta(df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+
+def median_positive_delta(df: DataFrame, *, by: Sequence[str], order: Sequence[str], value: str, block: float = FRAMES) -> DataFrame:
     """Median of the positive steps of each entity: entity, ``median_delta``, ``n``; null where there are none."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.select(*by, (F.col(value) - F.lag(value).over(w)).alias("__d"))
-    positive = F.when(F.col("__d") > 0, F.col("__d"))
+    cols = dict.fromkeys([*by, *order, value])
+    rows = with_neighbours(df.select(*cols), by=by, order=order, take=[value], block=block, following=None)
+    step = F.col(value) - F.col(f"__prev.{value}")
+    positive = F.when(step > 0, step)
     return rows.groupBy(*by).agg(F.median(positive).alias("median_delta"), F.count(positive).alias("n"))
 
 
@@ -32,13 +35,16 @@ def argmax_rows(df: DataFrame, *, by: Sequence[str], measure: Column, position:
     return df.where(measure.isNotNull()).groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]).agg(best).select("__r.*")
 
 
-def nearest_rank(value: Column, fractions: dict[str, float]) -> dict[str, Column]:
-    """Aggregates: the element of the sorted values at floor(n * fraction), cut at the last one.
+def nearest_rank(df: DataFrame, *, by: Sequence[str], value: str, fractions: Mapping[str, float], width: float) -> DataFrame:
+    """Per entity the value at place floor(n * fraction), from 0, of its sorted values, cut at the last one.
 
-    The values of a group are gathered; use it for groups of bounded size.
+    Equal values are counted before anything is sorted, and values are put in order by blocks of ``width``.
     """
-    values = F.sort_array(F.collect_list(value))
-    return {name: F.get(values, F.least(F.floor(F.size(values) * f), F.size(values) - 1).cast("int")) for name, f in fractions.items()}
+    counts = df.select(*by, F.col(value).alias("__x")).dropna().groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__all"))
+    rows = with_running(counts, by=by, order=["__x"], values={"__cum": ("sum", F.col("__n"))}, block=width).join(total, list(by))
+    place = lambda f: F.least(F.floor(F.col("__all") * F.lit(f)), F.col("__all") - 1)
+    return rows.groupBy(*by).agg(*(F.min(F.when(F.col("__cum") > place(f), F.col("__x"))).alias(name) for name, f in fractions.items()))
 
 
 def circular_mean(value: Column, period: float) -> Column:

@@ -118,12 +118,12 @@ def centered_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""
 with w as (select recording_id, frame, t_left_us as t, lag(frame) over w as pf, lead(frame) over w as nf, lag(t_left_us) over w as pt, lead(t_left_us) over w as nt from ({FRAMES_SQL}) window w as (partition by recording_id order by frame)),
 r as (select *, median(case when frame - pf = 1 then t - pt end) over (partition by recording_id) as ref from w)
-select recording_id, frame, round(case when t > pt then ref / (t - pt) end, 6) as prev_scale, round(case when nt > t then ref / (nt - t) end, 6) as next_scale
+select recording_id, frame, round(case when t > pt then ref / (t - pt) end, 9) as prev_scale, round(case when nt > t then ref / (nt - t) end, 9) as next_scale
 from r where frame - pf = 1 and nf - frame = 1""")
 def accel_triples(spark: SparkSession, folder: str) -> DataFrame:
     """Frames with both neighbours, and how their steps compare to the usual one."""
     rows = sequence.accel_triples(frames(spark, folder), by=["recording_id"], frame="frame", time="t_left_us")
-    return rows.select("recording_id", "frame", F.round("prev_scale", 6).alias("prev_scale"), F.round("next_scale", 6).alias("next_scale"))
+    return rows.select("recording_id", "frame", F.round("prev_scale", 9).alias("prev_scale"), F.round("next_scale", 9).alias("next_scale"))
 
 
 @query(f"""
@@ -131,8 +131,8 @@ select recording_id, frame, (0.5 * (lag(t_left_us) over w - t_left_us) + 0.25 *
 from ({FRAMES_SQL}) window w as (partition by recording_id order by frame)""")
 def second_difference(spark: SparkSession, folder: str) -> DataFrame:
     """Scaled second differences of frame times."""
-    second = sequence.second_difference("t_left_us", ["recording_id"], ["frame"], F.lit(0.5), F.lit(0.25))
-    return frames(spark, folder).select("recording_id", "frame", second.alias("second"))
+    rows = sequence.second_difference(frames(spark, folder), by=["recording_id"], order=["frame"], value="t_left_us", prev_scale=F.lit(0.5), next_scale=F.lit(0.25))
+    return rows.select("recording_id", "frame", "second")
 
 
 @query(f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rillframe.functions import scalars
 from rillframe.operators import stats
+from rillframe.operators.blocks import FRAMES, with_neighbours
 from rillframe.plans.clock import FRAMES_SQL, frames
 from rillframe.plans.joins import IMU_SQL, imu
 from rillframe.plans.registry import Registry
@@ -43,8 +44,7 @@ select l_orderkey, s[least(n * 0.5, n - 1)::bigint + 1] as median, s[least(floor
   select l_orderkey, list_sort(list(l_extendedprice)) as s, count(*) as n, floor(count(*) * 0.5) as h from lineitem group by 1)""".replace("s[least(n * 0.5, n - 1)::bigint + 1]", "s[least(h, n - 1)::bigint + 1]"))
 def nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Upper median and 95th percentile of each order's lines by rank."""
-    aggs = stats.nearest_rank(F.col("l_extendedprice"), {"median": 0.5, "p95": 0.95})
-    return table(spark, folder, "lineitem").groupBy("l_orderkey").agg(*(c.alias(n) for n, c in aggs.items()))
+    return stats.nearest_rank(table(spark, folder, "lineitem"), by=["l_orderkey"], value="l_extendedprice", fractions={"median": 0.5, "p95": 0.95}, width=10_000.0)
 
 
 @query(f"select recording_id, round(atan2(avg(sin(a)), avg(cos(a))) * (25000.0 / (2 * pi())), 3) as phase from (select recording_id, skew_us * (2 * pi() / 25000.0) as a from ({FRAMES_SQL}) where abs(skew_us) < 1000000) group by 1")
@@ -171,10 +171,8 @@ select recording_id, round(quantile_cont(j, 0.5), 4) as p50, round(quantile_cont
   select recording_id, abs(skew_us - lag(skew_us) over (partition by recording_id order by frame)) as j from ({FRAMES_SQL})) where j is not null group by 1""")
 def jitter(spark: SparkSession, folder: str) -> DataFrame:
     """How far the skew jumps from frame to frame."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("recording_id").orderBy("frame")
-    rows = frames(spark, folder).select("recording_id", F.abs(F.col("skew_us") - F.lag("skew_us").over(w)).alias("j")).where("j is not null")
+    rows = with_neighbours(frames(spark, folder).select("recording_id", "frame", "skew_us"), by=["recording_id"], order=["frame"], take=["skew_us"], block=FRAMES, following=None)
+    rows = rows.select("recording_id", F.abs(F.col("skew_us") - F.col("__prev.skew_us")).alias("j")).where("j is not null")
     out = rows.groupBy("recording_id").agg(F.percentile("j", F.array(F.lit(0.5), F.lit(0.95))).alias("p"))
     return out.select("recording_id", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"))
 
