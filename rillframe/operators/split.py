@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillframe.operators.asof import asof
+from rillframe.operators.asof import asof, neighbours
+from rillframe.operators.blocks import FRAMES, TIME_US, with_number
 
 
 def resolve_chunks(windows: DataFrame, frames: DataFrame, *, by: Sequence[str], start: str, end: str, frame: str, time: str, keyframe: str, pad_us: int = 0, min_duration_us: int = 0, prefix: str = "chunk_") -> DataFrame:
@@ -16,25 +17,25 @@ def resolve_chunks(windows: DataFrame, frames: DataFrame, *, by: Sequence[str],
     A window is padded on both sides; it starts with the first key frame not before the first frame of
     the padded window and ends with the last frame not after its end. An open start is the first frame,
     an open end the last one. Windows that end before they start, or are shorter than the least
-    duration, are dropped; the others are numbered in order of their start.
+    duration, are dropped; equal ones count once; the others are numbered in order of their start.
     """
     keys = list(by)
     ends = frames.groupBy(*keys).agg(F.min(F.struct(F.col(time).alias("t"), F.col(frame).alias("f"))).alias("__first"), F.max(F.struct(F.col(time).alias("t"), F.col(frame).alias("f"))).alias("__last"))
     rows = windows.select(*keys, (F.col(start) - pad_us).alias("__from"), (F.col(end) + pad_us).alias("__to")).join(ends, keys)
-    # The key frame at or after each frame is found once, by its frame number.
-    w = Window.partitionBy(*keys).orderBy(F.desc(frame)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    snapped = frames.withColumn("__k", F.last(F.when(F.col(keyframe), F.struct(F.col(frame).alias("f"), F.col(time).alias("t"))), ignorenulls=True).over(w))
-    rows = asof(rows, snapped, by=keys, left_time="__from", right_time=time, take=["__k"], direction="forward", out="__s")
-    rows = asof(rows, frames, by=keys, left_time="__to", right_time=time, take=[frame], direction="backward", out="__e")
+    # Both ends of a window are looked up in one go, then its start among the key frames.
+    asked = rows.withColumn("__q", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("__from").alias("t")), F.struct(F.lit(1).alias("end"), F.col("__to").alias("t"))))).withColumn("__t", F.col("__q.t"))
+    found = neighbours(asked, frames, by=keys, left_time="__t", right_time=time, take=[frame])
+    at_end = lambda k, c: F.max(F.when(F.col("__q.end") == k, F.col(c)))
+    rows = found.groupBy(*keys, "__from", "__to", "__first", "__last").agg(at_end(0, f"next.{frame}").alias("__af"), at_end(1, "prev").alias("__e"))
+    rows = asof(rows, frames.where(F.col(keyframe)), by=keys, left_time="__af", right_time=frame, take=[time], direction="forward", out="__s", block=FRAMES)
     opened = F.col("__from").isNull()
     rows = rows.select(
         *keys,
-        F.when(opened, F.col("__first.f")).otherwise(F.col("__s.__k.f")).alias("start_frame"),
-        F.when(opened, F.col("__first.t")).otherwise(F.col("__s.__k.t")).alias("start_time_us"),
+        F.when(opened, F.col("__first.f")).otherwise(F.col("__s.at")).alias("start_frame"),
+        F.when(opened, F.col("__first.t")).otherwise(F.col(f"__s.{time}")).alias("start_time_us"),
         F.when(F.col("__to").isNull(), F.col("__last.f")).otherwise(F.col(f"__e.{frame}")).alias("end_frame"),
         F.when(F.col("__to").isNull(), F.col("__last.t")).otherwise(F.col("__e.at")).alias("end_time_us"),
     )
     rows = rows.where((F.col("end_frame") >= F.col("start_frame")) & (F.col("end_time_us") - F.col("start_time_us") >= min_duration_us))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("start_time_us", "end_time_us", "start_frame", "end_frame")) - 1
-    rows = rows.withColumn("chunk_index", n.cast("long"))
+    rows = with_number(rows, by=keys, order=["start_time_us", "end_time_us", "start_frame", "end_frame"], block=TIME_US, out="chunk_index")
     return rows.select(*keys, "chunk_index", F.concat(F.lit(prefix), F.lpad(F.col("chunk_index").cast("string"), 3, "0")).alias("name"), "start_frame", "end_frame", "start_time_us", "end_time_us")
