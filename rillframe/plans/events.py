@@ -84,10 +84,8 @@ def paired_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 with h as (select recording_id, frame, host_us from ({HOST_SQL})), f as (select recording_id, host_us, min(frame) as frame from h group by all),
-k as (select recording_id, host_us, min(struct_pack(frame := frame, kf := kf, kt := kt)) as x from (
-  select h.recording_id, h.frame, h.host_us, n.frame as kf, n.host_us as kt from h asof left join (select * from h where frame % 12 = 0) n on h.recording_id = n.recording_id and h.frame <= n.frame) group by 1, 2),
 k2 as (select recording_id, host_us, min(struct_pack(kf := x2.kf, kt := x2.kt)) as x from (select recording_id, host_us, struct_pack(kf := kf, kt := kt) as x2 from (
-  select h.recording_id, h.host_us, n.frame as kf, n.host_us as kt from h asof left join (select * from h where frame % 12 = 0) n on h.recording_id = n.recording_id and h.frame <= n.frame) where kf is not null or kf is null) group by 1, 2),
+  select h.recording_id, h.host_us, n.frame as kf, n.host_us as kt from h asof left join (select * from h where frame % 12 = 0) n on h.recording_id = n.recording_id and h.frame <= n.frame)) group by 1, 2),
 w as (select recording_id, start_us - 500000 as f, end_us + 500000 as t from ({PAIRED_SQL}) where recording_id in (select recording_id from h)),
 s as (select w.*, k2.x.kf as start_frame, k2.x.kt as start_time_us from w asof left join k2 on w.recording_id = k2.recording_id and w.f <= k2.host_us),
 e as (select s.*, f2.frame as end_frame, f2.host_us as end_time_us from s asof left join f f2 on s.recording_id = f2.recording_id and s.t >= f2.host_us),

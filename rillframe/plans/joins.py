@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rillframe.operators import asof as A
 from rillframe.operators.folds import match_pairs
-from rillframe.operators.spatial import block_pairs, vote_density
+from rillframe.operators.graphs import best_steps, between_nodes, first_by_priority
+from rillframe.operators.spatial import block_pairs, radius_pairs, vote_density
 from rillframe.plans.clock import HOST_SQL, host_frames
 from rillframe.plans.registry import Registry
 from rillframe.sources.tables import table
@@ -214,8 +215,7 @@ def argmax_group(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with o as (select l_orderkey, l_suppkey, min(case when l_linestatus = 'O' then l_extendedprice end) as x, min(case when l_linestatus = 'F' then l_extendedprice end) as y from lineitem group by all),
-l as (select l_partkey, l_returnflag, max(l_extendedprice) as p from lineitem group by all)
+with l as (select l_partkey, l_returnflag, max(l_extendedprice) as p from lineitem group by all)
 select a.l_partkey, a.p as left_price, b.p as right_price from l a join l b on a.l_partkey = b.l_partkey and a.l_returnflag = 'A' and b.l_returnflag = 'R'""")
 def eye_self_join(spark: SparkSession, folder: str) -> DataFrame:
     """Two sides of the same key, side by side."""
@@ -239,3 +239,38 @@ def window_edges(spark: SparkSession, folder: str) -> DataFrame:
     from rillframe.operators.sequence import track_edges
 
     return track_edges(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"), by=["l_orderkey"], frame="l_linenumber")
+
+
+@query("""
+with p as (select label, vec_id, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings)
+select label, a.vec_id as a, b.vec_id as b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 6) as distance
+from p a join p b using (label) where a.vec_id < b.vec_id and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.1 and b.vec_id - a.vec_id >= 20""")
+def near_centers(spark: SparkSession, folder: str) -> DataFrame:
+    """Points of a label near each other in space but not in number."""
+    e = F.col("embedding").cast("array<double>")
+    p = table(spark, folder, "embeddings").select("label", "vec_id", *(e.getItem(k).alias(c) for k, c in enumerate("xyz")))
+    near = radius_pairs(p, by=["label"], point_id="vec_id", coords=["x", "y", "z"], radius=0.1).where(F.col("b") - F.col("a") >= 20)
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+@query("""
+with e as (select l_suppkey % 5 as g, l_orderkey as a, l_orderkey + 1 as b, l_extendedprice as q, l_linenumber as pos from lineitem),
+n as (select distinct o_orderkey as k from orders where o_orderstatus = 'O'), k as (select * from e where a in (select k from n) and b in (select k from n))
+select g, a, b, q, pos from (select *, row_number() over (partition by g, a order by q desc, pos) as r from k) where r = 1""")
+def best_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Between consecutive open orders the dearest line of each group of suppliers."""
+    li = table(spark, folder, "lineitem")
+    edges = li.select((F.col("l_suppkey") % 5).alias("g"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), F.col("l_extendedprice").alias("q"), F.col("l_linenumber").alias("pos"))
+    nodes = table(spark, folder, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"))
+    return best_steps(between_nodes(edges, nodes, by=[], a="a", b="b", node="k"), by=["g"], a="a", b="b", quality="q", position="pos")
+
+
+@query("""
+with w as (select distinct recording_id, start_us from windows where start_us is not null), c as (select distinct recording_id, start_time_us from chunks where start_time_us is not null),
+u as (select recording_id, start_us as t, 'window' as origin, 0 as p from w union all select recording_id, start_time_us, 'chunk', 1 from c)
+select recording_id, t, arg_min(origin, p) as origin from u group by recording_id, t""")
+def priority_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Times at which something starts, once each; a window's start goes before a chunk's."""
+    w = table(spark, folder, "windows").select("recording_id", F.col("start_us").alias("t"), F.lit("window").alias("origin")).where("t is not null")
+    c = table(spark, folder, "chunks").select("recording_id", F.col("start_time_us").alias("t"), F.lit("chunk").alias("origin")).where("t is not null")
+    return first_by_priority([w, c], ["recording_id", "t"])
