@@ -33,7 +33,7 @@ class Leak:
 
     gram: tuple[int, int] = (4, 7)
     passage: tuple[int, int] = (15, 30)
-    edited: tuple[int, int] = (20, 40)
+    edited: tuple[int, int] = (18, 40)
     weight: float = 2.0
     block: int = 4096
 
