@@ -15,7 +15,7 @@ m as (select recording_id, frame, 'imu_log' as imu_table, sample, abs(l.h - f.h)
 select recording_id, frame, imu_table, sample from (select *, row_number() over (partition by recording_id, frame order by d, rh, sample) as n from m) where n = 1"""
 
 # Phrases are told by the least number of slips, with and without the words around them.
-P4_SQL = r"""
+_RUNS = r"""
 with t as (select distinct recording_id, trigger_id, phrase, start_us, end_us from triggers where phrase is not null),
 p as (select distinct phrase, regexp_replace(nfc_normalize(lower(phrase)), '[^\p{L}\p{M}\p{N}]+', '', 'g') as raw from t),
 q as (select phrase, raw, regexp_replace(regexp_replace(raw, '^(ok|uh|and|so|äh|eh|vale|那么|嗯|えっと|はい)', ''), '(please|now|bitte|jetzt|porfavor|ya)$', '') as bare from p),
@@ -25,8 +25,14 @@ m as (select t.*, coalesce(k.command_id::varchar, '?' || t.phrase) as meaning fr
 a as (select *, case when meaning = lag(meaning) over w then 0 else 1 end as new from m window w as (partition by recording_id order by start_us, trigger_id)),
 b as (select *, sum(new) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as island from a),
 e as (select *, max(end_us) over (partition by recording_id, island order by start_us, trigger_id rows between unbounded preceding and 1 preceding) as reach from b),
-g as (select *, sum(case when start_us - reach < 1000000 then 0 else 1 end) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as run from e)
+g as (select *, sum(case when start_us - reach < 1000000 then 0 else 1 end) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as run from e)"""
+
+P4_SQL = f"""{_RUNS}
 select recording_id, arg_min(trigger_id, (start_us, trigger_id)) as first_trigger_id, count(*) as n_triggers, max(end_us) - min(start_us) as duration_us
 from g where meaning not like '?%' group by recording_id, run having count(*) >= 2"""
 
-ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_found": P4_SQL}
+P4_RUNS_SQL = f"""{_RUNS}
+select recording_id, arg_min(trigger_id, (start_us, trigger_id)) as first_event, any_value(meaning) as label, count(*) as n, min(start_us) as start, max(end_us) as "end", max(end_us) - min(start_us) as duration
+from g group by recording_id, run"""
+
+ORACLES: dict[str, str] = {"p1_found": P1_SQL, "p4_runs": P4_RUNS_SQL, "p4_found": P4_SQL}
