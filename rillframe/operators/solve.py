@@ -57,7 +57,7 @@ def solve_pose_graphs(edges: DataFrame, *, by: Sequence[str], baseline: float, w
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         frames, idx = np.unique(part[["frame_a", "frame_b"]].to_numpy(np.int64), return_inverse=True)
-        windows, w = np.unique(part["window"].to_numpy(), return_inverse=True)
+        _, w = np.unique(part["window"].to_numpy(), return_inverse=True)
         predicted = part.groupby(w)["predicted"].first().to_numpy(float)
         graph = posegraph.PoseGraph(np.column_stack([idx.reshape(-1, 2), w]), part[list(POSE)].to_numpy(float), part["quality"].to_numpy(float), predicted, baseline)
         poses, _, first, last = posegraph.solve(graph, len(frames), weights, iterations)

@@ -221,7 +221,7 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
     def histogram(part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for i, c in enumerate(cols):
-            order, q, v = _clean(part["__q"], part[c])
+            order, _, v = _clean(part["__q"], part[c])
             if len(v) < 3:
                 continue
             before, after = sides(np.clip(v, -1e15, 1e15))

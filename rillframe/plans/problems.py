@@ -32,6 +32,15 @@ p as (select recording_id, layer, g, min(s) as s, max(e) as e from y group by al
 select recording_id, layer, 'period' as kind, s as start_us, e as end_us from p
 union all select * from (select recording_id, layer, 'gap', e, lead(s) over (partition by recording_id, layer order by s) as n from p) where n is not null"""
 
+P6_GRID_SQL = """
+with r as (select distinct stream_id, sample, host_time_s, gx, ax from imu_sample where host_time_s is not null),
+s as (select stream_id, floor(floor(host_time_s * 1e6) / 100000)::bigint as slot, gx, ax, ax is not null and not isnan(ax) and gx is not null and not isnan(gx) as ok from r),
+a as (select stream_id, slot, count(case when ok then 1 end) as n, avg(case when ok then gx end) as gx, avg(case when ok then ax end) as ax from s group by 1, 2),
+g as (select stream_id, unnest(range(min(slot), max(slot) + 1)) as slot from s group by 1),
+j as (select g.stream_id, g.slot, coalesce(n, 0) as n, max(case when n > 0 then g.slot end) over (partition by g.stream_id order by g.slot rows unbounded preceding) as last from g left join a on a.stream_id = g.stream_id and a.slot = g.slot)
+select j.stream_id, j.slot, case when j.n > 0 then 'observed' when j.slot - last <= 5 then 'filled' else 'missing' end as status, j.n, round(b.gx, 9) as gx, round(b.ax, 9) as ax
+from j left join a b on b.stream_id = j.stream_id and b.slot = j.last and j.slot - j.last <= 5"""
+
 P6_SQL = """
 with r as (select stream_id, floor(floor(host_time_s * 1e6) / 100000)::bigint as slot, ax is not null and not isnan(ax) and gx is not null and not isnan(gx) as ok from imu_sample where host_time_s is not null),
 g as (select stream_id, unnest(range(min(slot), max(slot) + 1)) as slot from r group by 1)
@@ -78,11 +87,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("recording_id", "layer", "kind", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
 
 
-@query()
+@query(P6_GRID_SQL)
 def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every stream's gx and ax per 100 ms of host time; repeated deliveries count once."""
     rows = table(spark, folder, "imu_sample").select("stream_id", "sample", "host_time_s", "gx", "ax").dropDuplicates(["stream_id", "sample"])
-    return regular_grid(rows, entity=["stream_id"], time_us=seconds_to_us(F.col("host_time_s")), values=["gx", "ax"], width_us=GRID_US, max_gap_us=GRID_CARRY_US)
+    grid = regular_grid(rows, entity=["stream_id"], time_us=seconds_to_us(F.col("host_time_s")), values=["gx", "ax"], width_us=GRID_US, max_gap_us=GRID_CARRY_US)
+    return grid.withColumns({"gx": F.round("gx", 9), "ax": F.round("ax", 9)})
 
 
 @query(P6_SQL)
