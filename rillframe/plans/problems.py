@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,6 +121,33 @@ ABOUT_T = r"(?<!\p{L})t(?!\p{L})|translation|extrinsics|offset between eyes,"
 ABOUT_SQUARE = r"square size|squares|feldgröße"
 
 
+def _named(units: Mapping[str, Sequence[str]]) -> str:
+    """Rows of unit and name for SQL."""
+    return ", ".join(f"('{u}', '{n}')" for u, names in units.items() for n in names)
+
+
+_NAMES = "|".join(sorted((n for names in {**LENGTH_NAMES, **SQUARE_NAMES}.values() for n in names), key=lambda n: -len(n)))
+_LENGTHS = "|".join(sorted((n for names in LENGTH_NAMES.values() for n in names), key=lambda n: -len(n)))
+_BY_SIZE = "case when {x} * 1000 between {a} and {b} then 'm' when {x} between {a} and {b} then 'mm' when {x} * 10 between {a} and {b} then 'cm' when {x} / 1000 between {a} and {b} then 'um' when {x} * 25.4 between {a} and {b} then 'in' end"
+_IN_MM = "case {u} when 'm' then 1000 when 'mm' then 1 when 'cm' then 10 when 'um' then 0.001 when 'in' then 25.4 end"
+
+P2_SQL = f"""
+with names(unit, name) as (values {_named({**LENGTH_NAMES, **SQUARE_NAMES})}),
+c as (select distinct on (calib_id) calib_id, convention, t, baseline, case when json_valid(notes) then notes::json end as j from calibrations),
+f as (select *, json_extract_string(j, '$.board.square_mm') as sq, coalesce(json_extract_string(j, '$.note'), '') as note from c),
+v as (select *, case when regexp_matches(sq, '^\\s*(\\d+\\s+)?\\d+\\s*/') then coalesce(try_cast(regexp_extract(sq, '^\\s*(\\d+)\\s+\\d', 1) as double), 0) + try_cast(regexp_extract(sq, '(\\d+)\\s*/', 1) as double) / try_cast(regexp_extract(sq, '/\\s*(\\d+)', 1) as double)
+  else try_cast(replace(regexp_extract(sq, '^\\s*([0-9.,]+)', 1), ',', '.') as double) end as x,
+  lower(trim(regexp_extract(sq, '[0-9.,/]\\s*([^0-9.,/\\s].*)$', 1))) as own,
+  lower(json_extract_string(j, '$.board.unit')) as board, lower(regexp_extract(note, '(?i)(?:square size|squares|feldgröße)[^.;,\\d]*?[^\\p{{L}}]({_LENGTHS})\\s*(?:$|[,.;])', 1)) as told,
+  lower(regexp_extract(convention, '\\(t in (.*)\\)', 1)) as conv, lower(coalesce(json_extract_string(j, '$.translation_units'), json_extract_string(j, '$.t_unit'))) as key,
+  lower(regexp_extract(note, '(?i)(?:(?:^|[^\\p{{L}}])t[^\\p{{L}}]|translation|extrinsics|offset between eyes,)(?:[^.;,\\d]*?[^\\p{{L}}])??({_NAMES})\\s*(?:$|[,.;])', 1)) as said,
+  coalesce(baseline, sqrt(list_sum([e * e for e in t if e is not null]))) as len from f),
+s as (select *, case when x is not null then coalesce((select any_value(unit) from names where name = own and unit <> 'square'), (select any_value(unit) from names where name = board and unit <> 'square'), (select any_value(unit) from names where name = told and unit <> 'square'), {_BY_SIZE.format(x="x", a=SQUARE_MM[0], b=SQUARE_MM[1])}) end as su from v),
+w as (select *, x * {_IN_MM.format(u="su")} as mm from s),
+u as (select *, case when len(t) > 0 then coalesce((select any_value(unit) from names where name = conv), (select any_value(unit) from names where name = key), (select any_value(unit) from names where name = said), {_BY_SIZE.format(x="len", a=BASELINE_MM[0], b=BASELINE_MM[1])}, case when len * mm between {BASELINE_MM[0]} and {BASELINE_MM[1]} then 'square' end) end as tu from w)
+select calib_id, 't' as field, tu as unit from u where tu <> 'm' union all select calib_id, 'square_mm', su from u where su <> 'mm'"""
+
+
 @query()
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     """Every calibration's t in metres and square size in millimetres, with the units they came in.
@@ -151,7 +179,7 @@ def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("calib_id", "t_unit", "t_m", "square_unit", "square_mm")
 
 
-@query()
+@query(P2_SQL)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The fields that aren't in the common unit, and the unit they are in."""
     rows = p2_units(spark, folder)
