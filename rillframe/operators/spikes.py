@@ -94,7 +94,8 @@ def posteriors(z: np.ndarray, equal: np.ndarray, broken: np.ndarray, p_equal: fl
     tail = -cost * (np.minimum(z, 1e3 * m.threshold) / m.threshold) ** 2
     same, other = np.log(p_equal), np.log1p(-p_equal)
     eq_n = np.where(equal, same, other)
-    logs = np.stack([tail + eq_n, flat + eq_n, np.where(equal, np.log(0.999), np.log(0.001)), np.zeros(n)], axis=1)
+    # Within a stuck run a reading lies amid its like: the stuck state must not take in what is far off.
+    logs = np.stack([tail + eq_n, flat + eq_n, tail + np.where(equal, np.log(0.999), np.log(0.001)), np.zeros(n)], axis=1)
     logs[:, RANGE] = np.where(broken, 0.0, -60.0)
     logs[broken, :RANGE] -= 60.0
     logs -= logs.max(axis=1, keepdims=True)

@@ -50,6 +50,14 @@ def test_run_spans_nulls_and_blocks(spark):
     assert set(k for _, k in got) == set(range(251, 262)) - {255}
 
 
+def test_spikes_that_look_stuck(spark):
+    x = series(400, 7)
+    x[100:103] = x[100]
+    x[103] += 2
+    x[200:202] = x[200] + 2  # two equal ones
+    assert set(k for _, k in run(spark, [("a", k, float(v)) for k, v in enumerate(x)])) == {103, 200, 201}
+
+
 def test_scatter_is_the_sources_own(spark):
     rng = np.random.default_rng(3)
     loud, quiet = rng.normal(0, 1.0, 500), rng.normal(0, 0.01, 500)
