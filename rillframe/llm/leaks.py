@@ -3,7 +3,9 @@
 Runs of words (of letters, for scripts without spaces) of the evaluation items are seeds. Documents are
 joined to items by the seeds they hold; a seed weighs the less the more items share it, so that what
 many items have in common makes no candidates by itself. Candidates are aligned with the item by
-Smith-Waterman, which sees through edits, and by their longest exact run.
+Smith-Waterman, which sees through edits, by their longest exact run, and by the longest stretch in which
+a few single units differ. Sentences made from one template differ in its slots: a difference counts as an
+edit only if what the document has instead isn't what other items have there.
 """
 
 from __future__ import annotations
@@ -26,14 +28,19 @@ MAX_HELD_SEEDS = 2_000_000
 class Leak:
     """Parameters for items of words and, second, of letters.
 
-    A document holds an item if an exact run has ``passage`` units, or if an alignment that scores 1 for
-    a match and -2 for a difference reaches ``edited``. A candidate needs seeds that weigh ``weight``
-    together, or ``hits`` seeds: as many as an exact passage of ``passage`` units has.
+    A document holds an item if an exact run has ``passage`` units, if an alignment that scores 1 for
+    a match and -2 for a difference reaches ``edited``, or if a stretch of ``passage`` units of the item has
+    at most one edit in every ``apart`` units, with exact runs of ``beside`` units around its edits (see
+    ``stretch``). A candidate needs seeds that weigh ``weight`` together, or ``least`` places of the item with
+    a seed: as many as the shortest such stretch has.
     """
 
     gram: tuple[int, int] = (4, 7)
     passage: tuple[int, int] = (15, 30)
     edited: tuple[int, int] = (18, 40)
+    apart: tuple[int, int] = (7, 10)
+    beside: tuple[int, int] = (2, 3)
+    frame: tuple[int, int] = (2, 3)
     weight: float = 2.0
     block: int = 4096
 
@@ -41,12 +48,30 @@ class Leak:
     def hits(self) -> tuple[int, int]:
         return tuple(p - g + 1 for p, g in zip(self.passage, self.gram))
 
+    def edits(self, kind: int) -> int:
+        """The most edits a stretch can have that doesn't reach ``edited`` anyway."""
+        return max(d for d in range(self.edited[kind]) if max(self.passage[kind], d * self.apart[kind]) - 3 * d < self.edited[kind] or d == 0)
 
-def item_grams(text: str, m: Leak) -> tuple[int, list[int]]:
-    """The kind of an item (0 words, 1 letters) and its distinct seeds."""
+    def worth(self, kind: int) -> int:
+        """The least score an alignment with such a stretch has."""
+        return min(max(self.passage[kind], d * self.apart[kind]) - 3 * d for d in range(self.edits(kind) + 1))
+
+    @property
+    def least(self) -> tuple[int, int]:
+        """Each edit takes as many seeds as a seed has units, and the end one less."""
+        return tuple(max(1, min(max(self.passage[k], d * self.apart[k]) - d * g - g + 1 for d in range(self.edits(k) + 1))) for k, g in enumerate(self.gram))
+
+
+def item_grams(text: str, m: Leak) -> tuple[int, list[int], list[int]]:
+    """The kind of an item (0 words, 1 letters), its seeds by place, and its distinct frames."""
     kind = int(normal.is_unspaced(text))
     units = normal.letters(text) if kind else normal.words(text)
-    return kind, sorted(set(normal.grams(units, m.gram[kind])))
+    return kind, normal.grams(units, m.gram[kind]), sorted(set(frames(units, kind, m)))
+
+
+def frames(units: list[str], kind: int, m: Leak) -> list[int]:
+    """Hashes of the short runs by which slots are told; all numbers are one."""
+    return normal.grams(["0" if u.isdecimal() else u for u in units], m.frame[kind])
 
 
 def text_grams(text: str, m: Leak) -> set[int]:
@@ -85,6 +110,64 @@ def align(item: list[str], doc: list[str], block: int = 4096) -> tuple[int, int]
     return best, run
 
 
+def stretch(item: list[str], doc: list[str], known: np.ndarray, kind: int, m: Leak) -> bool:
+    """Whether ``passage`` units of the item stand in the document but for a few edits.
+
+    An edit is a unit replaced, left out or put in; edits side by side are counted each. It isn't an edit
+    but another filling of a slot, which ends the stretch, if the document has a number for a number, or if a
+    run of ``frame`` units that begins or ends with its unit is among ``known``, the sorted ``frames`` of all
+    items (for a unit left out, if a run over the place is).
+    """
+    ids = {u: k for k, u in enumerate(dict.fromkeys(item))}
+    a = [ids[u] for u in item]
+    whole = np.fromiter((ids.get(u, -1) for u in doc), dtype=np.int32, count=len(doc))
+    n, f, beside, most = len(whole), m.frame[kind], m.beside[kind], m.edits(kind)
+    own = np.array(frames(doc, kind, m), dtype=np.int64)
+    held = np.searchsorted(known, own, "right") > np.searchsorted(known, own, "left")
+    told, closed = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    told[: len(held)] |= held
+    told[f - 1 :] |= held
+    for k in range(1, f):  # the frames that hold both a place and the next
+        closed[k - 1 : k - 1 + len(held)] |= held
+    number = np.fromiter((u.isdecimal() for u in doc), dtype=bool, count=n)
+    overlap = 3 * len(item)
+    block = max(m.block, 2 * overlap)
+    for start in range(0, max(1, n - overlap), block - overlap):
+        cut = slice(start, start + block)
+        if _stretch(item, a, whole[cut], told[cut], closed[cut], number[cut], beside, most, m.passage[kind], m.apart[kind]):
+            return True
+    return False
+
+
+def _stretch(item: list[str], a: list[int], b: np.ndarray, told: np.ndarray, closed: np.ndarray, number: np.ndarray, beside: int, most: int, passage: int, apart: int) -> bool:
+    size = len(b) + 1
+    runs = np.zeros(size, dtype=np.int32)
+    # By the number of edits: the longest stretch that ends in a match, and in an edit; 0 where there is none.
+    match, edit = np.zeros((2, most + 1, size), dtype=np.int32)
+    put, left_out = np.zeros((2, size), dtype=np.int32)
+    put[1:], left_out[1:] = ~told, ~closed
+    renumbered = put.copy()
+    renumbered[1:] *= ~number
+    enough = np.maximum(passage, apart * np.arange(most + 1))[:, None]
+    for u, word in zip(a, item):
+        same = np.zeros(size, dtype=np.int32)
+        same[1:] = b == u
+        replaced = (renumbered if word.isdecimal() else put) * (1 - same)
+        before = np.maximum(match * (runs >= beside), edit)
+        grown, changed = np.zeros((2, most + 1, size), dtype=np.int32)
+        grown[:, 1:] = (np.maximum(match[:, :-1], edit[:, :-1]) + 1) * same[1:]
+        runs[1:] = (runs[:-1] + 1) * same[1:]
+        ends = grown * (runs >= beside)
+        if (ends >= enough).any():
+            return True
+        changed[1:, 1:] = (before[:-1, :-1] + 1) * (before[:-1, :-1] > 0) * replaced[1:]
+        np.maximum(changed[1:], (before[:-1] + 1) * (before[:-1] > 0) * left_out, out=changed[1:])
+        for d in range(1, most + 1):
+            np.maximum(changed[d, 1:], np.maximum(ends[d - 1, :-1], changed[d - 1, :-1]) * put[1:], out=changed[d, 1:])
+        match, edit = grown, changed
+    return False
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_text: str, item_id: str, item_text: str, model: Leak | None = None, max_held_seeds: int = MAX_HELD_SEEDS) -> DataFrame:
     """Columns: ``doc_id``, ``item_id``, ``score``, ``run``; one row per document and item it holds.
 
@@ -97,33 +180,41 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str, doc_text:
     docs = spread(documents.select(F.col(doc_id).alias("__doc"), F.col(doc_text).cast("string").alias("__text")).dropna())
     held = items.select(F.col(item_id).alias("__item"), F.col(item_text).cast("string").alias("__words")).dropna().dropDuplicates(["__item"])
 
-    @F.pandas_udf("struct<kind:int,grams:array<bigint>>")
+    @F.pandas_udf("struct<kind:int,grams:array<bigint>,frames:array<bigint>>")
     def seeds_of(text: pd.Series) -> pd.DataFrame:
-        got = [item_grams(t, m) for t in text]
-        return pd.DataFrame({"kind": [k for k, _ in got], "grams": [g for _, g in got]})
+        return pd.DataFrame([item_grams(t, m) for t in text], columns=["kind", "grams", "frames"])
 
-    each = held.select("__item", seeds_of("__words").alias("__s")).select("__item", "__s.kind", F.explode_outer("__s.grams").alias("__gram")).where(F.col("__gram").isNotNull())
+    parts = held.select("__item", seeds_of("__words").alias("__s")).select("__item", "__s.*")
+    each = parts.select("__item", "kind", F.explode_outer("grams").alias("__gram")).where(F.col("__gram").isNotNull()).groupBy("__item", "kind", "__gram").agg(F.count(F.lit(1)).alias("__times"))
     shared = each.groupBy("__gram").agg(F.count(F.lit(1)).alias("__df"))
-    seeds = each.join(shared, "__gram").select("__gram", "__item", F.col("kind").alias("__kind"), (1.0 / F.col("__df")).alias("__w"))
+    seeds = each.join(shared, "__gram").select("__gram", "__item", F.col("kind").alias("__kind"), "__times", (1.0 / F.col("__df")).alias("__w"))
+    known = parts.select(F.explode_outer("frames").alias("__frame")).dropna().distinct()
 
     local = seeds.limit(max_held_seeds + 1).toPandas()
-    if len(local) <= max_held_seeds:
-        pairs = _held_candidates(docs, local, dict(held.dtypes)["__item"], m)
+    few = len(local) <= max_held_seeds
+    if few:
+        pairs = _held_candidates(docs, local, dict(held.dtypes)["__item"], m).withColumn("__known", F.lit(None).cast("array<bigint>"))
+        table = docs.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["__frame"].to_numpy(dtype=np.int64)))
     else:
-        pairs = _joined_candidates(docs, seeds, m)
+        pairs = _with_known(_joined_candidates(docs, seeds, m), known, m)
+        table = None
 
-    @F.pandas_udf("struct<kind:int,score:int,run:int>")
-    def aligned(text: pd.Series, item: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<kind:int,score:int,run:int,held:boolean>")
+    def aligned(text: pd.Series, item: pd.Series, own: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, i in zip(text, item):
+        for t, i, k in zip(text, item, own):
             kind = int(normal.is_unspaced(i))
             units = normal.letters if kind else normal.words
-            rows.append((kind, *align(units(i), units(t), m.block)))
-        return pd.DataFrame(rows, columns=["kind", "score", "run"])
-
-    scored = pairs.join(held, "__item").select("__doc", "__item", aligned("__text", "__words").alias("__a")).select("__doc", "__item", "__a.*")
-    of = lambda pair: F.when(F.col("kind") == 1, pair[1]).otherwise(pair[0])
-    found = scored.where((F.col("run") >= of(m.passage)) | (F.col("score") >= of(m.edited)))
+            a, b = units(i), units(t)
+            score, run = align(a, b, m.block)
+            held = run >= m.passage[kind] or score >= m.edited[kind]
+            if not held and score >= m.worth(kind):
+                held = stretch(a, b, table.value if table else np.array([] if k is None else k, dtype=np.int64), kind, m)
+            rows.append((kind, score, run, held))
+        return pd.DataFrame(rows, columns=["kind", "score", "run", "held"])
+
+    scored = pairs.join(held, "__item").select("__doc", "__item", aligned("__text", "__words", "__known").alias("__a")).select("__doc", "__item", "__a.*")
+    found = scored.where("held")
     out = found.groupBy("__doc", "__item").agg(F.max("score").alias("score"), F.max("run").alias("run"))
     return out.select(F.col("__doc").alias(doc_id), F.col("__item").alias(item_id), "score", "run")
 
@@ -134,12 +225,12 @@ def _held_candidates(docs: DataFrame, seeds: pd.DataFrame, item_type: str, m: Le
     order = np.argsort(seeds["__gram"].to_numpy(), kind="stable") if len(seeds) else np.empty(0, dtype=np.int64)
     kinds = np.zeros(len(names), dtype=np.int8)
     kinds[position] = seeds["__kind"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((seeds["__gram"].to_numpy()[order], position[order], seeds["__w"].to_numpy()[order], names.tolist(), kinds))
+    shared = docs.sparkSession.sparkContext.broadcast((seeds["__gram"].to_numpy()[order], position[order], seeds["__w"].to_numpy()[order], seeds["__times"].to_numpy(dtype=np.int32)[order], names.tolist(), kinds))
 
     @F.pandas_udf(f"array<{item_type}>")
     def candidates(text: pd.Series) -> pd.Series:
-        gram, item, weight, ids, kind = shared.value
-        need = np.where(kind == 1, m.hits[1], m.hits[0])
+        gram, item, weight, times, ids, kind = shared.value
+        need = np.where(kind == 1, m.least[1], m.least[0])
         out = []
         for t in text:
             mine = np.fromiter(text_grams(t, m), dtype=np.int64)
@@ -148,7 +239,7 @@ def _held_candidates(docs: DataFrame, seeds: pd.DataFrame, item_type: str, m: Le
             if not rows:
                 out.append([])
                 continue
-            n = np.bincount(item[rows], minlength=len(ids))
+            n = np.bincount(item[rows], weights=times[rows], minlength=len(ids))
             w = np.bincount(item[rows], weights=weight[rows], minlength=len(ids))
             out.append([ids[k] for k in np.flatnonzero((w >= m.weight) | ((n > 0) & (n >= need)))])
         return pd.Series(out, dtype=object)
@@ -165,7 +256,19 @@ def _joined_candidates(docs: DataFrame, seeds: DataFrame, m: Leak) -> DataFrame:
 
     docs = docs.dropDuplicates(["__doc"])
     grams = docs.select("__doc", F.explode_outer(runs("__text")).alias("__gram")).where(F.col("__gram").isNotNull())
-    need = F.when(F.col("__kind") == 1, m.hits[1]).otherwise(m.hits[0])
-    hits = grams.join(seeds, "__gram").groupBy("__doc", "__item", "__kind").agg(F.count(F.lit(1)).alias("__n"), F.sum("__w").alias("__sum"))
+    need = F.when(F.col("__kind") == 1, m.least[1]).otherwise(m.least[0])
+    hits = grams.join(seeds, "__gram").groupBy("__doc", "__item", "__kind").agg(F.sum("__times").alias("__n"), F.sum("__w").alias("__sum"))
     pairs = hits.where((F.col("__sum") >= m.weight) | (F.col("__n") >= need)).select("__doc", "__item")
     return docs.join(pairs, "__doc")
+
+
+def _with_known(pairs: DataFrame, known: DataFrame, m: Leak) -> DataFrame:
+    """Adds the frames of a candidate's document that items have, in ``__known``."""
+
+    @F.pandas_udf("array<bigint>")
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series([sorted({*frames(normal.words(t), 0, m), *frames(normal.letters(t), 1, m)}) for t in text], dtype=object)
+
+    each = pairs.select("__doc", "__text").dropDuplicates(["__doc"]).select("__doc", F.explode_outer(own("__text")).alias("__frame"))
+    found = each.join(known, "__frame").groupBy("__doc").agg(F.collect_list("__frame").alias("__known"))
+    return pairs.join(found, "__doc", "left")
