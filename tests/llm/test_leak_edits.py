@@ -37,7 +37,7 @@ def test_short_edited_passages(spark):
             docs.append((len(docs), "".join([*beside, *edited(han[30 : 30 + span], at, kind, "々"), *beside])))
             want.add((len(docs) - 1, 2))
     # Too short, or with too many edits.
-    docs += [(100, " ".join([*around, *words[20:32], "zz", *around])), (101, " ".join([*around, *edited(words[20:38], [4, 9, 14], "replace", "zz")]))]
+    docs += [(100, " ".join([*around, *words[20:32], "zz", *around])), (101, " ".join([*around, *edited(words[20:37], [4, 9, 13], "replace", "zz")]))]
     assert run(spark, docs, items) == want
     assert run(spark, docs, items, max_held_seeds=10) == want
 
