@@ -59,7 +59,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence units of every document."""
-    units = sentence_units(table(spark, folder, "documents"), doc_id="doc_id", text="text", lang="lang")
+    units = sentence_units(table(spark, folder, "documents"), doc_id="doc_id", text="text", lang="lang", unit=False)
     return units.select("doc_id", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from rillframe.llm.segmentation import sentence_units, sentences
+from rillframe.llm.segmentation import cascade, languages, sentence_units, sentences, usual
 
 CASES = [
     ("en", "Dr. Brunnick saw Fig. 7 (cf. Sec. 2.1).| Nothing else changed."),
@@ -26,6 +26,14 @@ CASES = [
     ("en", "no final mark here\n\n|A Heading\n\n|one line\nwrapped over two"),
     ("en", "the first is lower case.| so is the second?| yes.\n\n|But 5 min. here are not."),
     ("en", "The lens froze at 4 p.m.| J. Vaelin came.|The rest was fine!|«Quite so.»| Dr.Irvoth left."),
+    ("en", "We raised the gain to the max.| Then we stopped.| He kept an open mind.| Then he left."),
+    ("en", "It was modern art.| 5 people came.| Use the cap.| 3 cables are left."),
+    ("en", "Acme Corp. Ltd. is here.| U.S. Army units moved.| He works at Acme Inc.| Then he left for the U.S.| It was late."),
+    ("de", "Das ist mind. 5 m lang.| Es dauert max. 3 Tage."),
+    ("fr", "M. Dupont a vu la fig. 3 dans le livre.| Il est parti, p. ex. hier."),
+    ("it", "Il Sig. Rossi è a pag. 4 con gli altri.| Poi è uscito."),
+    ("pt", "O Sr. Silva não viu a pág. 4.| Depois saiu."),
+    ("ru", "Это на рис. 4.| Потом проф. Иванов ушёл."),
     ("en", "Mixed: it was “done. Really” they say.| Next."),
 ]
 
@@ -58,6 +66,36 @@ def test_lists():
     assert units("  • derived/x.npz is bad.\n• Next one. And more.") == ["derived/x.npz is bad.", "Next one.", "And more."]
 
 
+@pytest.mark.parametrize("length", [20, 290, 5_000, 50_000])
+@pytest.mark.parametrize("marks", ["“”", '""', "„“", "«»"])
+def test_quotations_of_any_length(length, marks):
+    half = "So it goes. " * (length // 12) + "Yes"
+    text = f"He said: {marks[0]}{half}. {half}{marks[1]}, and left. Then he came."
+    assert units(text) == [text[: -len(" Then he came.")], "Then he came."]
+
+
+def test_unclosed_quotations_end_nothing_and_hide_nothing():
+    assert units("He said “so. Then he left. “Yes,” she said. No.") == ["He said “so.", "Then he left.", "“Yes,” she said.", "No."]
+
+
+def test_the_usual_end_is_what_the_tables_say():
+    """Positions that are parted without asking the tables are those that these part."""
+    names = ["Mr", "mind", "art", "fig", "seen", "x", "pág", "ended", "ca", "4", "über", "etc"]
+    for lang in ("en", "de", "es", None):
+        for name in names:
+            for mark in (".", "?", "!", "..", "?!"):
+                for gap in (" ", "\n", "  ", ""):
+                    block = f"We saw {name}{mark}{gap}The rest"
+                    at = len("We saw ") + len(name) + len(mark)
+                    if usual(block, mark, at):
+                        for pattern, does in cascade(languages(block, lang), False):
+                            if (rule := pattern.match(block, at)) is not None:
+                                assert does[rule.lastindex]
+                                break
+                        else:
+                            raise AssertionError(block)
+
+
 def test_edges():
     assert sentences(None) == [] and sentences("") == [] and sentences(" \n\t\n ") == []
     assert units("...") == ["..."] and units("!\n\n?") == ["!", "?"]
@@ -78,4 +116,6 @@ def test_table(spark):
     out = sentence_units(df, doc_id="doc_id", text="text", lang="lang")
     got = sorted((r["doc_id"] or 0, r["start"], r["end"], r["unit"]) for r in out.collect())
     assert got == [(0, 0, 2, "Z."), (1, 0, 5, "Ab 😀."), (1, 0, 5, "Ab 😀."), (1, 6, 9, "Cd."), (1, 6, 9, "Cd.")]
+    bare = sentence_units(df, doc_id="doc_id", text="text", lang="lang", unit=False)
+    assert bare.columns == ["doc_id", "start", "end"] and sorted((r["doc_id"] or 0, r["start"], r["end"]) for r in bare.collect()) == [r[:3] for r in got]
     assert sentence_units(df.limit(0), doc_id="doc_id", text="text").count() == 0
