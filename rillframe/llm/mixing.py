@@ -2,15 +2,17 @@
 
 Records get a hash; a source contributes its records below a hash threshold, whole rounds of all its
 records before that. Thresholds are found without sorting: sizes are summed by source and hash bucket,
-the bucket in which a budget runs out is refined by the next bits, and so on, each level reading only
-the records of boundary buckets. What reaches the driver is one row per source and level.
+the bucket in which a budget runs out is refined by the next bits, and so on, each level summing only
+the records of boundary buckets.
 """
 
 from __future__ import annotations
 
+import base64
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,20 +20,31 @@ from pyspark.sql import functions as F
 
 from rillframe.session import ensure_checkpoint_dir, spread
 
-#: The folder of the public tokenizers; a parameter wherever it is used.
-TOKENIZER = os.environ.get("RILLFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
-MAX_SOURCES = 10_000
+#: A public tokenizer's file, a parameter wherever it is used: byte ranks (.tiktoken) or a whole tokenizer (.json).
+TOKENIZER = os.environ.get("RILLFRAME_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+# Fixed value: how texts are parted before their bytes are merged, in the vocabularies that come as ranks.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BITS, LEVELS = 12, 5
+#: So many sources are broadcast; each of more lies in so many groups.
+HELD, SALTS = 100_000, 16
 
 
 @lru_cache(maxsize=4)
-def _tokenizer(path: str):
+def _counter(path: str) -> Callable[[str], int]:
+    """Counts the tokens of a text; a process loads each file once."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranked = tiktoken.Encoding(path, pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: len(ranked.encode_to_numpy(text, disallowed_special=()))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return lambda text: len(whole.encode(text, add_special_tokens=False).ids)
 
 
 def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
@@ -39,11 +52,8 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
     @F.pandas_udf("long")
     def count(batch: pd.Series) -> pd.Series:
-        tool = _tokenizer(tokenizer)
-        out: list[int | None] = []
-        for t in batch:
-            out.append(None if t is None else len(tool.encode(t, add_special_tokens=False).ids))
-        return pd.Series(out, dtype="Int64")
+        tokens = _counter(tokenizer)
+        return pd.Series([None if t is None else tokens(t) for t in batch], dtype="Int64")
 
     return count(text)
 
@@ -74,70 +84,83 @@ def mix_sources(df: DataFrame, targets: DataFrame, *, doc_id: str, source: str,
     * Targets with a null or non-positive share or cap give nothing; a source named twice adds its shares.
     * The selection names each record once, with ``repeats``; empty tables give empty results.
     * Whether a record is in depends on its id and ``seed`` only, so a larger total keeps what was in.
+    * There may be any number of sources; only totals over all of them reach the driver.
     """
-    spark = df.sparkSession
+    ensure_checkpoint_dir(df.sparkSession)
     goals = targets.select(one_spelling(F.col(target_source)).alias("source"), F.col(share).cast("double").alias("share"), F.col(cap).cast("int").alias("cap")).where("source is not null and share > 0 and cap > 0")
-    wanted = goals.groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).limit(MAX_SOURCES + 1).collect()
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    share_of, cap_of = {r["source"]: r["share"] for r in wanted}, {r["source"]: r["cap"] for r in wanted}
-
-    rows = spread(df).select(F.col(doc_id).alias("__id"), one_spelling(F.col(source)).alias("__src"), size.cast("long").alias("__size"))
-    names = spark.createDataFrame([(s,) for s in share_of], "__src string")
-    rows = rows.where("__id is not null").join(F.broadcast(names), "__src")
-    rows = rows.where("__size > 0").groupBy("__id").agg(F.max(F.struct("__size", "__src")).alias("__best")).select("__id", "__best.__src", "__best.__size")
-    rows = rows.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "__id"), 64 - BITS * LEVELS))
-    ensure_checkpoint_dir(spark)
+    goals = goals.groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap")).checkpoint()
+
+    rows = spread(df).select(F.col(doc_id).alias("__id"), one_spelling(F.col(source)).alias("__src"), size.cast("long").alias("__size")).where("__id is not null")
+    rows = join_by_source(rows, goals.select(F.col("source").alias("__src"))).where("__size > 0")
+    rows = rows.groupBy("__id").agg(F.max(F.struct("__size", "__src")).alias("__best")).select("__id", "__best.__src", "__best.__size")
+    rows = rows.withColumn("__h", hash_of(F.col("__id"), seed))
     # Sizes are costly to make and read several times: a narrow table of them is kept.
     rows = rows.checkpoint()
 
-    have = {r["__src"]: r["s"] for r in rows.groupBy("__src").agg(F.sum("__size").alias("s")).collect()}
-    sum_shares = sum(share_of[s] for s in have)
-    shares = {s: share_of[s] / sum_shares for s in have}
+    have = rows.groupBy("__src").agg(F.sum("__size").alias("have"))
+    plan = goals.join(have, F.col("source") == F.col("__src")).select("__src", "share", "cap", "have").checkpoint()
+    shares = plan.agg(F.sum("share")).first()[0] or 1.0
+    part = F.col("share") / F.lit(shares)
     if total is None:
-        total = int(min((cap_of[s] * have[s] / shares[s] for s in have), default=0))
-    budget = {s: min(int(total * shares[s] + 1e-6), cap_of[s] * have[s]) for s in have}
-    whole = {s: budget[s] // have[s] for s in have}
-    threshold = _thresholds(rows, {s: budget[s] - whole[s] * have[s] for s in have})
+        total = plan.agg(F.floor(F.min(F.col("cap") * F.col("have") / part) + 1e-6)).first()[0] or 0
+    plan = plan.withColumn("budget", F.least(F.floor(F.lit(float(total)) * part + 1e-6), F.col("cap") * F.col("have")))
+    plan = plan.withColumn("whole", F.call_function("div", F.col("budget"), F.col("have")))
+    limits = _thresholds(rows, plan.select("__src", F.lit(0).cast("long").alias("__prefix"), (F.col("budget") - F.col("whole") * F.col("have")).alias("__rest")))
+    plan = plan.join(limits, "__src", "left").withColumn("limit", F.coalesce("__limit", F.lit(0))).checkpoint()
 
-    plan = spark.createDataFrame([(s, whole[s], threshold.get(s, 0)) for s in have], "__src string, __whole long, __limit long")
-    chosen = rows.join(F.broadcast(plan), "__src").withColumn("repeats", (F.col("__whole") + (F.col("__h") < F.col("__limit")).cast("long")).cast("int")).where("repeats > 0")
+    chosen = join_by_source(rows, plan.select("__src", "whole", "limit")).withColumn("repeats", (F.col("whole") + (F.col("__h") < F.col("limit")).cast("long")).cast("int")).where("repeats > 0")
     selection = chosen.select(F.col("__id").alias(doc_id), F.col("__src").alias("source"), F.col("__size").alias("size"), "repeats")
 
     given = chosen.groupBy("__src").agg(F.sum(F.col("__size") * F.col("repeats")).alias("__given"), F.max("repeats").alias("__most"))
-    every = spark.createDataFrame([(s, share_of[s], cap_of[s], have.get(s, 0), budget.get(s, 0)) for s in share_of], "source string, target_share double, max_repeats int, available long, budget long")
-    report = F.broadcast(every).join(given, F.col("source") == F.col("__src"), "left")
-    reached = F.try_divide(F.coalesce("__given", F.lit(0)).cast("double"), F.sum("__given").over(Window.partitionBy(F.lit(1))).cast("double"))
-    report = report.select("source", "target_share", "max_repeats", "available", "budget", F.coalesce("__given", F.lit(0)).alias("used"), F.coalesce("__most", F.lit(0)).alias("most_repeats"), F.coalesce(reached, F.lit(0.0)).alias("actual_share"))
+    used = F.coalesce("__given", F.lit(0))
+    report = goals.join(plan.select("__src", "have", "budget").join(given, "__src", "left"), F.col("source") == F.col("__src"), "left")
+    report = report.select("source", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), F.coalesce("have", F.lit(0)).alias("available"), F.coalesce("budget", F.lit(0)).alias("budget"), used.alias("used"), F.coalesce("__most", F.lit(0)).alias("most_repeats"))
+    everything = report.agg(F.sum("used").alias("__all"))
+    # One row beside the report.
+    report = report.crossJoin(F.broadcast(everything)).withColumn("actual_share", F.coalesce(F.try_divide(F.col("used").cast("double"), F.col("__all").cast("double")), F.lit(0.0))).drop("__all")
     return Mix(selection, report)
 
 
-def _thresholds(rows: DataFrame, rest: dict[str, int]) -> dict[str, int]:
-    """Per source the hash below which its records fill ``rest``, without exceeding it."""
-    spark = rows.sparkSession
-    state = {s: (0, r) for s, r in rest.items() if r > 0}
-    out = {s: 0 for s in rest}
+def hash_of(key: Column, seed: int) -> Column:
+    """BITS * LEVELS bits of a key, as a number; the same in any engine with MD5."""
+    text = F.concat(F.lit(f"{seed}:"), key.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
+def join_by_source(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``few``, one row per source, by ``__src``.
+
+    Up to HELD sources are broadcast. More are joined by shuffling, each source over SALTS groups, as one
+    may have a third of all rows.
+    """
+    if few.limit(HELD + 1).count() <= HELD:
+        return rows.join(F.broadcast(few), "__src")
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(salted, ["__src", "__salt"]).drop("__salt")
+
+
+def _thresholds(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Per source ``__limit``: the hash below which its records fill ``__rest``, without exceeding it."""
+    found = []
     for level in range(LEVELS):
-        if not state:
+        state = state.where("__rest > 0").checkpoint()
+        if state.isEmpty():
             break
         shift = BITS * (LEVELS - 1 - level)
-        now = spark.createDataFrame([(s, p, r) for s, (p, r) in state.items()], "__src string, __prefix long, __rest long")
-        inside = rows.join(F.broadcast(now), "__src").where(F.shiftright("__h", shift + BITS) == F.col("__prefix"))
+        inside = join_by_source(rows, state).where(F.shiftright("__h", shift + BITS) == F.col("__prefix"))
         bucket = F.shiftright("__h", shift).bitwiseAND((1 << BITS) - 1)
-        sums = inside.groupBy("__src", "__rest", bucket.alias("__b")).agg(F.sum("__size").alias("__sum"), F.count(F.lit(1)).alias("__n"))
+        sums = inside.groupBy("__src", "__prefix", "__rest", bucket.alias("__b")).agg(F.sum("__size").alias("__sum"), F.count(F.lit(1)).alias("__n"))
         # At most 2^BITS rows per source.
         upto = sums.withColumn("__cum", F.sum("__sum").over(Window.partitionBy("__src").orderBy("__b")))
-        edge = upto.where(F.col("__cum") > F.col("__rest")).groupBy("__src").agg(F.min(F.struct("__b", "__cum", "__sum", "__n")).alias("e")).select("__src", "e.*").collect()
-        following = {}
-        for r in edge:
-            prefix, left = state[r["__src"]]
-            prefix = (prefix << BITS) | r["__b"]
-            out[r["__src"]] = prefix << shift
-            left -= r["__cum"] - r["__sum"]
-            if r["__n"] > 1 and left > 0:
-                following[r["__src"]] = (prefix, left)
-        state = following
-    return out
+        edge = upto.where(F.col("__cum") > F.col("__rest")).groupBy("__src").agg(F.min(F.struct("__b", "__cum", "__sum", "__n", "__prefix", "__rest")).alias("e")).select("__src", "e.*")
+        prefix = F.shiftleft("__prefix", BITS).bitwiseOR(F.col("__b"))
+        left = F.col("__rest") - (F.col("__cum") - F.col("__sum"))
+        edge = edge.select("__src", prefix.alias("__prefix"), left.alias("__rest"), "__n").checkpoint()
+        found.append(edge.select("__src", F.shiftleft("__prefix", shift).alias("__limit")))
+        state = edge.where("__n > 1").drop("__n")
+    none = state.select("__src", F.lit(0).cast("long").alias("__limit"))
+    # Each level refines: its limit is the highest yet.
+    return reduce(DataFrame.unionByName, found, none).groupBy("__src").agg(F.max("__limit").alias("__limit"))
 
 
 def repeat_rows(df: DataFrame, selection: DataFrame, doc_id: str) -> DataFrame:

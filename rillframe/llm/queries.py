@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.llm.leaks import find_leaks
@@ -74,9 +74,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
-def _mix(spark: SparkSession, folder: str) -> Mix:
+def _mix(spark: SparkSession, folder: str, size: Column | None = None) -> Mix:
     docs = table(spark, folder, "documents")
-    return mix_sources(docs, table(spark, folder, "mix_targets"), doc_id="doc_id", source="source", size=token_count(F.col("text")))
+    size = token_count(F.col("text")) if size is None else size
+    return mix_sources(docs, table(spark, folder, "mix_targets"), doc_id="doc_id", source="source", size=size)
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,3 +88,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of that mix and how often each is used."""
     return _mix(spark, folder).selection
+
+
+def p8_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same mix with sizes in characters, which SQL can count: documents and how often each is used."""
+    return _mix(spark, folder, F.col("n_chars")).selection
+
+
+def p8_letter_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source gives to the mix by characters."""
+    return _mix(spark, folder, F.col("n_chars")).report

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rillframe.llm import mixing
 from rillframe.llm.mixing import TOKENIZER, mix_sources, one_spelling, repeat_rows, token_count
 
 DOC, GOAL = "id long, src string, n long, source string, repeats int", "source string, target_share double, max_repeats int, n int"
@@ -71,6 +72,18 @@ def test_tokens(spark):
     assert got[:3] == [2, 0, None] and got[3] > 1 and got[4] >= 50_000
 
 
+def test_many_sources_are_joined_in_the_same_way(spark, monkeypatch):
+    docs, goals = make(2), [("a", 0.5, 1), ("b_c", 0.3, 2), ("d", 0.2, 4)]
+    held = run(spark, docs, goals)[:2]
+    monkeypatch.setattr(mixing, "HELD", 1)
+    assert run(spark, docs, goals)[:2] == held
+
+
+@pytest.mark.parametrize("text", ["", "hello world", "a" * 5000, "句子很长" * 500, " " * 999 + "x", "<|endoftext|> Ａ\n\n", "!?" * 500])
+def test_both_forms_of_a_tokenizer_agree(text):
+    assert mixing._counter(TOKENIZER)(text) == mixing._counter(TOKENIZER.replace(".tiktoken", ".json"))(text)
+
+
 @pytest.mark.parametrize(("name", "want"), [(" Lab-Wiki ", "lab_wiki"), ("LAB  WIKI", "lab_wiki"), ("", None), (None, None)])
 def test_spelling(spark, name, want):
     assert spark.createDataFrame([(name,)], "s string").select(one_spelling(F.col("s"))).first()[0] == want
