@@ -14,13 +14,15 @@ m as (select recording_id, frame, 'imu_log' as imu_table, sample, abs(l.h - f.h)
  union all select recording_id, frame, 'imu_sample', sample, abs(s.h - f.h), s.h from f join s on s.src = f.imu_stream_id and s.h between f.h - 10000 and f.h + 10000)
 select recording_id, frame, imu_table, sample from (select *, row_number() over (partition by recording_id, frame order by d, rh, sample) as n from m) where n = 1"""
 
-# Phrases are told by the least number of slips, with and without the words around them.
+# Phrases are told by the least number of slips, with and without the words around them, if that leaves one command.
 _RUNS = r"""
 with t as (select distinct recording_id, trigger_id, phrase, start_us, end_us from triggers where phrase is not null),
 p as (select distinct phrase, regexp_replace(nfc_normalize(lower(phrase)), '[^\p{L}\p{M}\p{N}]+', '', 'g') as raw from t),
-q as (select phrase, raw, regexp_replace(regexp_replace(raw, '^(ok|uh|and|so|äh|eh|vale|那么|嗯|えっと|はい)', ''), '(please|now|bitte|jetzt|porfavor|ya)$', '') as bare from p),
+q as (select phrase, raw, regexp_replace(regexp_replace(raw, '^(okay|ok|uh|um|and|so|well|please|now|hey|äh|ähm|und|bitte|jetzt|also|eh|vale|porfavor|ya|y|ahora|那么|嗯|请|好|えっと|はい|では|ください)+', ''), '(okay|ok|uh|um|and|so|well|please|now|hey|äh|ähm|und|bitte|jetzt|also|eh|vale|porfavor|ya|y|ahora|那么|嗯|请|好|えっと|はい|では|ください)+$', '') as bare from p),
 c as (select command_id, regexp_replace(nfc_normalize(lower(phrase)), '[^\p{L}\p{M}\p{N}]+', '', 'g') as known from commands),
-k as (select phrase, arg_min(command_id, (least(damerau_levenshtein(strip_accents(raw), strip_accents(known)), damerau_levenshtein(strip_accents(bare), strip_accents(known))), command_id)) as command_id from q, c where least(damerau_levenshtein(strip_accents(raw), strip_accents(known)), damerau_levenshtein(strip_accents(bare), strip_accents(known))) <= 1 group by phrase),
+n as (select phrase, command_id, least(damerau_levenshtein(strip_accents(raw), strip_accents(known)), damerau_levenshtein(strip_accents(bare), strip_accents(known))) as slips from q, c),
+l as (select phrase, command_id, slips, min(slips) over (partition by phrase) as least from n where slips <= 1),
+k as (select phrase, min(command_id) as command_id from l where slips = least group by phrase, least having least = 0 or count(*) = 1),
 m as (select t.*, coalesce(k.command_id::varchar, '?' || t.phrase) as meaning from t left join k using (phrase)),
 a as (select *, case when meaning = lag(meaning) over w then 0 else 1 end as new from m window w as (partition by recording_id order by start_us, trigger_id)),
 b as (select *, sum(new) over (partition by recording_id order by start_us, trigger_id rows unbounded preceding) as island from a),

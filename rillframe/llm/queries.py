@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rillframe.llm.leaks import find_leaks
 from rillframe.llm.mixing import Mix, mix_sources, token_count
 from rillframe.llm.nearest import nearest_in_time
-from rillframe.llm.phrases import command_of
+from rillframe.llm.phrases import with_command
 from rillframe.llm.runs import collapse_runs
 from rillframe.llm.segmentation import sentence_units
 from rillframe.sources.tables import table
@@ -25,9 +25,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     kept = F.array(F.struct(F.lit("imu_log").alias("imu_table"), F.col("recording_id").alias("source")), F.struct(F.lit("imu_sample").alias("imu_table"), F.col("imu_stream_id").alias("source")))
     frames = frames.select("recording_id", "frame", "host_us", F.inline(F.filter(kept, lambda k: k["source"].isNotNull())))
     log = table(spark, folder, "imu_log").select(F.lit("imu_log").alias("imu_table"), F.col("recording_id").alias("source"), "sample", F.col("host_time_us").alias("host_us"))
-    seconds = F.col("host_time_s")
-    usable = F.when(F.abs(seconds) < 2.0e12, seconds)
-    sample = table(spark, folder, "imu_sample").select(F.lit("imu_sample").alias("imu_table"), F.col("stream_id").alias("source"), "sample", F.floor(usable * 1e6).alias("host_us"))
+    sample = table(spark, folder, "imu_sample").select(F.lit("imu_sample").alias("imu_table"), F.col("stream_id").alias("source"), "sample", F.floor(F.when(~F.isnan("host_time_s"), F.col("host_time_s")) * 1e6).alias("host_us"))
     found = nearest_in_time(
         frames,
         log.unionByName(sample),
@@ -45,7 +43,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Consecutive triggers of a recording that mean the same command, as one; others as they are."""
     rows = table(spark, folder, "triggers").select("recording_id", "trigger_id", "phrase", "start_us", "end_us").where(F.col("phrase").isNotNull())
-    rows = rows.withColumn("command_id", command_of(F.col("phrase"), table(spark, folder, "commands")))
+    rows = with_command(rows, table(spark, folder, "commands"), phrase="phrase", into="command_id")
     # A phrase that means no known command is like nothing but itself.
     rows = rows.withColumn("meaning", F.coalesce(F.col("command_id").cast("string"), F.concat(F.lit("?"), F.col("phrase"))))
     return collapse_runs(rows, entity=["recording_id"], start="start_us", end="end_us", event_id="trigger_id", label="meaning", max_gap=RUN_GAP_US)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from rillframe.llm.phrases import Commands, command_of, within_one
+from rillframe.llm.phrases import Commands, Fillers, slips, with_command, within_one
 from rillframe.llm.runs import collapse_runs
 
 SCHEMA = "e string, id long, s long, t long, x string, n int, label int, __b string"
@@ -68,7 +68,7 @@ KNOWN = {"start capture": 1, "split here": 2, "corta aquí": 3, "录画": 4, "
     [("start capture", 1), (" START  Capture!", 1), ("start-capture", 1), ("strat capture", 1), ("startcapture", 1), ("ok, start capture", 1), ("uh split here please", 2), ("spli there", 2), ("splitt here now", 2), ("corta aqui", 3), ("vale, corta aquí", 3), ("録画 を停止。", 5), ("はい、録画を停止", 5), ("録画を開始", None), ("stop it", None), ("", None), ("please", None), ("don't start capture", None)],
 )
 def test_phrases(phrase, number):
-    assert Commands(KNOWN).find(phrase) == number
+    assert Commands(KNOWN.items()).find(phrase) == number
 
 
 def test_within_one():
@@ -76,8 +76,28 @@ def test_within_one():
     assert not within_one("abc", "cba") and not within_one("abc", "a") and not within_one("abcd", "badc")
 
 
-def test_command_column(spark):
-    commands = spark.createDataFrame([(1, "start capture", "z"), (2, None, "z")], "command_id long, phrase string, known string")
-    df = spark.createDataFrame([("Start capture.",), (None,), ("x" * 100_000,)], "phrase string")
-    assert [r[0] for r in df.select(command_of(df["phrase"], commands)).collect()] == [1, None, None]
-    assert [r[0] for r in df.select(command_of(df["phrase"], commands.limit(0))).collect()] == [None, None, None]
+def test_slips_meet():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choices("abc", k=rng.randrange(1, 7)))
+        b = "".join(rng.choices("abc", k=rng.randrange(1, 7)))
+        assert not within_one(a, b) or slips(a) & slips(b)
+
+
+def test_any_number_of_fillers():
+    words = ["ok", "uh", "um", "so", "please"]
+    for n in (1, 8, 70, 2000):
+        phrase = " ".join([*(words[k % 5] for k in range(n)), "start capture", *(words[k % 5] for k in range(n))])
+        assert Commands(KNOWN.items()).find(phrase) == 1
+    assert Fillers(["a", "ab"]).forms("abxa") == {"abxa", "bxa", "xa", "abx", "bx", "x"}
+
+
+@pytest.mark.parametrize("held", [10_000, 1])
+def test_command_column(spark, held):
+    commands = spark.createDataFrame([(1, "start capture", "z"), (2, None, "z"), (5, "Start, capture", "z"), (6, "split here", "q"), (7, "split hera", "q"), (8, "go", "q"), (9, "!", "q")], "command_id long, phrase string, known string")
+    phrases = ["Start capture.", None, "x" * 100_000, "ok strat capture now", "split here", "split herx", "gp", "ok go", "", "start capture"]
+    df = spark.createDataFrame([(k, p, "c") for k, p in enumerate(phrases)], "k long, phrase string, known string")
+    got = {r["k"]: r["command"] for r in with_command(df, commands, phrase="phrase", into="command", held=held).collect()}
+    assert [got[k] for k in range(len(phrases))] == [1, None, None, 1, 6, None, None, 8, None, 1]
+    assert {r["command"] for r in with_command(df, commands.limit(0), phrase="phrase", into="command", held=held).collect()} == {None}
+    assert with_command(df.limit(0), commands, phrase="phrase", into="command", held=held).count() == 0
