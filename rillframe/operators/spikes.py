@@ -6,9 +6,11 @@ scatter, (b) whether it equals the reading before, and (c) whether it breaks a h
 forward-backward probabilities of the states, with the hard bounds, assign the flags; a last check
 holds a spike to its longest length and a stuck run to its shortest.
 
-A source may hold a large part of all rows, so no task takes a whole one: readings are handled in
-blocks of consecutive sequence numbers with a halo on either side, which is wider than anything the
-model looks at, and a source's scatter is a median over a histogram that is added up per source.
+A source may hold a large part of all rows, so no task takes a whole one. Readings are numbered per source
+and field, and handled in blocks of consecutive numbers with a halo of readings on either side that is wider
+than anything the model looks at; blocks and the pieces of the model begin at the same places whatever the
+size of a block. What is a source's own, its scatter, its rate of equal readings and its period, comes from
+a histogram added up per source. So where blocks are cut changes nothing.
 """
 
 from __future__ import annotations
@@ -17,21 +19,29 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NORMAL, SPIKE, STUCK, RANGE = 0, 1, 2, 3
 BINS_PER_E = 50
 SIDE = 5
+#: Steps on either side by which a clock's period is found.
+STEPS = 15
+#: Readings that the model is run over in one piece.
+PIECE = 64
+#: Sequence numbers within which readings are numbered in one task.
+STRETCH = 1 << 16
+EQUAL, NONE = -20_000, -10_000
 
 
 @dataclass(frozen=True)
 class SpikeModel:
     """Parameters; ``threshold`` is the deviation at which spike and normal are equally likely.
 
-    ``clock``: values are times that advance by one period per sequence number; deviations are then
-    counted in periods, and a repeated time is a stuck one.
+    ``clock``: values are times that advance by one period per sequence number, which may change in the course
+    of a source; deviations are then counted in the periods found around, and a repeated time is a stuck one.
+    ``block`` and ``halo`` are multiples of PIECE readings.
     """
 
     threshold: float = 10.0
@@ -43,7 +53,7 @@ class SpikeModel:
     enter_stuck: float = 1e-4
     stay_stuck: float = 0.94
     block: int = 8192
-    halo: int = 64
+    halo: int = PIECE
 
 
 def sides(x: np.ndarray, width: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +83,7 @@ def beyond_sides(x: np.ndarray, before: np.ndarray, after: np.ndarray, same_sign
     return np.nan_to_num(out, nan=0.0)
 
 
-def posteriors(z: np.ndarray, equal: np.ndarray, broken: np.ndarray, p_equal: float, m: SpikeModel, chunk: int = 64, lead: int = 16) -> np.ndarray:
+def posteriors(z: np.ndarray, equal: np.ndarray, broken: np.ndarray, p_equal: float, m: SpikeModel, chunk: int = PIECE, lead: int = 16) -> np.ndarray:
     """State probabilities (n, 4) of one sequence by forward-backward.
 
     The sequence is cut into overlapping pieces which are run side by side; what a piece's ends don't
@@ -134,27 +144,55 @@ def run_lengths(flag: np.ndarray) -> np.ndarray:
     return out
 
 
-def flag_sequence(seq: np.ndarray, x: np.ndarray, scale: float, bound: float, m: SpikeModel) -> tuple[np.ndarray, np.ndarray]:
-    """Flag codes (0 none, else a state) and the probability of not being normal, for sorted, distinct readings."""
+def off_clock(q: np.ndarray, x: np.ndarray, period: float, begins: bool) -> np.ndarray:
+    """By how many periods times fit neither those before nor those after; ``period`` stands in where steps tell none.
+
+    ``begins``: the first time is its source's first. With nothing before it, that is wrong only if the clock
+    runs back after it.
+    """
+    n = len(x)
+    if n < 2:
+        return np.zeros(n)
+    steps = np.diff(x) / np.diff(q)
+    steps = np.where(steps > 0, steps, period)
+    around = np.concatenate([np.full(STEPS, period), steps, np.full(STEPS, period)])
+    usual = np.median(np.lib.stride_tricks.sliding_window_view(around, STEPS), axis=1)
+    # Steps up to the reading before, and from the reading after: a wrong time spoils none of them.
+    before, after = usual[np.maximum(np.arange(n) - 1, 0)], usual[np.minimum(np.arange(n) + 1 + STEPS, len(usual) - 1)]
+    out = np.full(n, np.inf)
+    first_late = False
+    for side, rate in ((-1, before), (1, after)):
+        off = np.full((SIDE, n), np.nan)
+        for k in range(1, min(SIDE, n - 1) + 1):
+            here, there = (slice(k, n), slice(0, n - k)) if side < 0 else (slice(0, n - k), slice(k, n))
+            off[k - 1, here] = x[here] - x[there] - rate[here] * (q[here] - q[there])
+        full = ~np.isnan(off[-1])
+        middle = np.full(n, np.nan)
+        middle[full] = np.median(off[:, full], axis=0)
+        some = ~full & ~np.isnan(off[0])
+        middle[some] = np.nanmedian(off[:, some], axis=0)
+        if side > 0:
+            first_late = middle[0] > 0
+        out = np.fmin(out, np.abs(middle) / rate)
+    if begins and not first_late:
+        out[0] = 0.0
+    return np.where(np.isfinite(out), out, 0.0)
+
+
+def flag_sequence(q: np.ndarray, x: np.ndarray, scale: float, p_equal: float, bound: float, m: SpikeModel, begins: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Flag codes (0 none, else a state) and the probability of not being normal, for sorted, distinct readings.
+
+    ``scale`` is the source's scatter, or its period if its values are a clock's.
+    """
     n = len(x)
     broken = np.abs(x) > bound
     x = np.clip(x, -1e15, 1e15)
     equal = np.zeros(n, dtype=bool)
     equal[1:] = x[1:] == x[:-1]
     if m.clock:
-        steps = np.diff(x)[np.diff(seq) == 1]
-        period = np.median(steps[steps > 0]) if (steps > 0).any() else 1.0
-        r = x / period - seq
-        before, after = sides(r)
-        # Times of a clock have no common level, so a deviation counts in whichever direction it goes.
-        z = beyond_sides(r, before, after, same_sign=False) * (m.threshold / scale)
-        if n > 1 and r[0] <= after[0]:
-            z[0] = 0.0  # with nothing before it, a first time is wrong only if the clock runs back after it
-        p_equal = 1e-9
+        z = off_clock(q, x, scale, begins) * (m.threshold / 2.0)
     else:
-        before, after = sides(x)
-        z = beyond_sides(x, before, after) / scale
-        p_equal = float(np.clip(equal.mean() if n else 0.0, 1e-4, 0.1))
+        z = beyond_sides(x, *sides(x)) / scale
     post = posteriors(z, equal, broken, p_equal, m)
     flag = np.zeros(n, dtype=np.int8)
     spike = (post[:, SPIKE] > 0.5) & ~broken
@@ -168,34 +206,34 @@ def flag_sequence(seq: np.ndarray, x: np.ndarray, scale: float, bound: float, m:
     return flag, 1.0 - post[:, NORMAL]
 
 
-def _blocks(rows: DataFrame, m: SpikeModel) -> DataFrame:
-    """Each row once in its own block and, near a border, once in the neighbour's halo."""
-    own = F.floor(F.col("__q") / F.lit(m.block))
-    low = F.floor((F.col("__q") - m.halo) / F.lit(m.block))
-    high = F.floor((F.col("__q") + m.halo) / F.lit(m.block))
-    return rows.withColumn("__own", own).withColumn("__block", F.explode(F.array_distinct(F.array(low, own, high))))
-
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Distinct readings of each source and field with their number from 0, in order, and the reading before.
 
-def _clean(seq: pd.Series, x: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted, distinct, non-null readings: their positions, sequence numbers and values."""
-    v = x.to_numpy(dtype=float, na_value=np.nan)
-    q = seq.to_numpy(dtype=np.int64)
-    keep = np.flatnonzero(~np.isnan(v))
-    order = keep[np.lexsort((v[keep], q[keep]))]
-    first = np.ones(len(order), dtype=bool)
-    first[1:] = q[order][1:] != q[order][:-1]
-    order = order[first]
-    return order, q[order], v[order]
+    Numbers are counted within stretches of sequence numbers; one row per stretch carries the count on.
+    """
+    keys = ["__src", "__f"]
+    rows = rows.withColumn("__s", F.floor(F.col("__q") / F.lit(STRETCH))).repartition(*keys, "__s")
+    rows = rows.groupBy(*keys, "__s", "__q").agg(F.min("__x").alias("__x"))
+    order = Window.partitionBy(*keys, "__s").orderBy("__q")
+    rows = rows.withColumns({"__n": F.row_number().over(order), "__px": F.lag("__x").over(order), "__pq": F.lag("__q").over(order)})
+    counts = rows.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__count"))
+    upto = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "__s", F.coalesce(F.sum("__count").over(upto), F.lit(0)).alias("__before"))
+    return rows.join(counts, [*keys, "__s"]).withColumn("__n", F.col("__n") + F.col("__before") - 1).drop("__s", "__before")
 
 
-FLAG_NAMES = ("source", "seq", "field", "flag", "probability")
-FLAG_KINDS = (object, np.int64, object, object, np.float64)
+def _blocks(rows: DataFrame, m: SpikeModel) -> DataFrame:
+    """Each reading once in its own block and, near a border, once in the neighbour's halo."""
+    low, own, high = (F.floor((F.col("__n") + d) / F.lit(m.block)) for d in (-m.halo, 0, m.halo))
+    near = F.filter(F.array_distinct(F.array(low, own, high)), lambda b: b >= 0)
+    return rows.select("__src", "__f", "__n", "__q", "__x", F.explode(near).alias("__block"))
 
 
-def _frame(parts: list[tuple[np.ndarray, ...]], names: tuple[str, ...] = FLAG_NAMES, kinds: tuple = FLAG_KINDS) -> pd.DataFrame:
-    """One frame of arrays that come in parts."""
-    cols = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype=k) for i, k in enumerate(kinds)]
-    return pd.DataFrame(dict(zip(names, cols)))
+def _median(bins: DataFrame, per_e: float) -> DataFrame:
+    """Per source and field the median of what was counted in logarithmic bins ``__b``, in ``__middle``."""
+    w = Window.partitionBy("__src", "__f")
+    bins = bins.withColumn("__cum", F.sum("__k").over(w.orderBy("__b"))).withColumn("__all", F.sum("__k").over(w))
+    return bins.where(F.col("__cum") * 2 >= F.col("__all")).groupBy("__src", "__f").agg(F.exp(F.min("__b") / F.lit(per_e)).alias("__middle"))
 
 
 def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[str, float], model: SpikeModel | None = None, values: Mapping[str, Column] | None = None) -> DataFrame:
@@ -211,62 +249,60 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
     * Empty tables give no rows; further columns are ignored.
     """
     m = model or SpikeModel()
-    if m.halo < max(m.shortest_run, SIDE) + 1 or m.block < m.halo:
-        raise ValueError("the halo must exceed the shortest run, and the block the halo")
+    if m.halo < max(m.shortest_run, SIDE + STEPS + 2, 17) or m.block < m.halo or m.halo % PIECE or m.block % PIECE:
+        raise ValueError(f"block and halo must be multiples of {PIECE}, and the halo wider than what the model looks at")
     fields = list(bounds)
-    cols = [f"__v{i}" for i in range(len(fields))]
-    rows = df.select(F.col(source).cast("string").alias("__src"), F.col(seq).cast("long").alias("__q"), *((values[f] if values and f in values else F.col(f)).cast("double").alias(c) for f, c in zip(fields, cols)))
-    rows = _blocks(rows.dropna(subset=["__src", "__q"]), m)
-    keys = ["__src", "__block"]
-
-    def histogram(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i, c in enumerate(cols):
-            order, _, v = _clean(part["__q"], part[c])
-            if len(v) < 3:
-                continue
-            before, after = sides(np.clip(v, -1e15, 1e15))
-            off = np.abs(np.clip(v, -1e15, 1e15) - (before + after) / 2)
-            off = off[(part["__own"].to_numpy()[order] == part["__block"].iloc[0]) & ~np.isnan(off)]
-            bins = np.where(off > 0, np.round(np.log(np.maximum(off, 1e-30)) * BINS_PER_E), -10_000).astype(np.int64)
-            b, n = np.unique(bins, return_counts=True)
-            out.append((np.full(len(b), str(part["__src"].iloc[0]), dtype=object), np.full(len(b), i, dtype=np.int32), b, n))
-        return _frame(out, ("__src", "__f", "__b", "__n"), (object, np.int32, np.int64, np.int64))
-
-    names = {SPIKE: "spike", STUCK: "stuck", RANGE: "range"}
+    each = F.array(*(F.struct(F.lit(i).alias("__f"), (values[f] if values and f in values else F.col(f)).cast("double").alias("__x")) for i, f in enumerate(fields)))
+    rows = df.select(F.col(source).cast("string").alias("__src"), F.col(seq).cast("long").alias("__q"), F.inline(each))
+    rows = _numbered(rows.where("__src is not null and __q is not null and __x is not null and not isnan(__x)"))
+    blocks = _blocks(rows, m)
+    keys = ["__src", "__f", "__block"]
 
-    def flags(part: pd.DataFrame, scales: dict[int, float]) -> pd.DataFrame:
-        out = []
-        here = part["__own"].to_numpy() == part["__block"].iloc[0]
-        for i, (f, c) in enumerate(zip(fields, cols)):
-            order, q, v = _clean(part["__q"], part[c])
-            if not len(v):
-                continue
-            flag, p = flag_sequence(q, v, scales.get(i, np.inf), bounds[f], m)
-            at = np.flatnonzero((flag > 0) & here[order])
-            out.append((np.full(len(at), str(part["__src"].iloc[0]), dtype=object), q[at], np.full(len(at), f, dtype=object), np.array([names[k] for k in flag[at]], dtype=object), p[at]))
-        return _frame(out)
-
-    schema = "source string, seq long, field string, flag string, probability double"
     if m.clock:
-        periods = dict.fromkeys(range(len(fields)), 2.0)
-        return rows.groupBy(*keys).applyInPandas(lambda part: flags(part, periods), schema)
+        step = F.try_divide(F.col("__x") - F.col("__px"), (F.col("__q") - F.col("__pq")).cast("double"))
+        bins = rows.where(step > 0).groupBy("__src", "__f", F.round(F.log(step) * F.lit(4.0 * BINS_PER_E)).alias("__b")).agg(F.count(F.lit(1)).alias("__k"))
+        own = _median(bins, 4.0 * BINS_PER_E).select("__src", "__f", F.col("__middle").alias("__scale"), F.lit(1e-9).alias("__same"))
+    else:
 
-    hist = rows.groupBy(*keys).applyInPandas(histogram, "__src string, __f int, __b long, __n long")
-    # The median over a source's histogram: its bins are bounded in number, whatever the source's size.
-    bins = hist.groupBy("__src", "__f", "__b").agg(F.sum("__n").alias("__n"))
-    w = Window.partitionBy("__src", "__f")
-    bins = bins.where(F.col("__b") > -10_000).withColumn("__cum", F.sum("__n").over(w.orderBy("__b"))).withColumn("__all", F.sum("__n").over(w))
-    scale = bins.where(F.col("__cum") * 2 >= F.col("__all")).groupBy("__src", "__f").agg((F.exp(F.min("__b") / F.lit(float(BINS_PER_E))) / F.lit(0.6745)).alias("__scale"))
-    scale = scale.groupBy("__src").agg(F.map_from_entries(F.collect_list(F.struct("__f", "__scale"))).alias("__scales"))
-    blocks = rows.select(F.col("__src").alias("__s"), F.col("__block").alias("__b")).distinct()
-    per_block = blocks.join(scale.withColumnRenamed("__src", "__s"), "__s", "left")
-    # Both sides of the cogroup are keyed by source and block; the rows' exchange is the one made above.
-
-    def apply(part: pd.DataFrame, scales: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return _frame([])
-        found = scales["__scales"].iloc[0] if len(scales) else None
-        return flags(part, dict(found) if found is not None else {})
-
-    return rows.groupBy(*keys).cogroup(per_block.groupBy("__s", "__b")).applyInPandas(apply, schema)
+        def histogram(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+            n, x = _arrays(part, "__n", "__x")
+            x = np.clip(x, -1e15, 1e15)
+            here = n // m.block == key[2].as_py()
+            before, after = sides(x)
+            off = np.abs(x - (before + after) / 2)[here] if len(x) > 2 else np.empty(0)
+            off = off[~np.isnan(off)]
+            bin_of = np.where(off > 0, np.round(np.log(np.maximum(off, 1e-30)) * BINS_PER_E), NONE).astype(np.int64)
+            b, k = np.unique(np.concatenate([bin_of, np.full(np.sum((x[1:] == x[:-1]) & here[1:]), EQUAL), np.full(here.sum(), EQUAL - 1)]), return_counts=True)
+            return pa.table({"__src": pa.array([key[0].as_py()] * len(b), pa.string()), "__f": np.full(len(b), key[1].as_py(), dtype=np.int32), "__b": b.astype(np.int64), "__k": k.astype(np.int64)})
+
+        # The bins of a source are bounded in number, whatever its size.
+        bins = blocks.groupBy(*keys).applyInArrow(histogram, "__src string, __f int, __b long, __k long").groupBy("__src", "__f", "__b").agg(F.sum("__k").alias("__k"))
+        scatter = _median(bins.where(F.col("__b") > NONE), float(BINS_PER_E)).select("__src", "__f", (F.col("__middle") / F.lit(0.6745)).alias("__scale"))
+        count = {name: F.coalesce(F.sum(F.when(F.col("__b") == code, F.col("__k"))), F.lit(0)) for name, code in (("same", EQUAL), ("all", EQUAL - 1))}
+        same = bins.groupBy("__src", "__f").agg(F.greatest(F.lit(1e-4), F.least(F.lit(0.1), F.try_divide(count["same"], count["all"]))).alias("__same"))
+        own = same.join(scatter, ["__src", "__f"], "left")
+
+    names = {SPIKE: "spike", STUCK: "stuck", RANGE: "range"}
+
+    def flags(key: tuple[pa.Scalar, ...], part: pa.Table, of_source: pa.Table) -> pa.Table:
+        n, q, x = _arrays(part, "__n", "__q", "__x")
+        scale, same = (None, None) if not len(of_source) else (of_source["__scale"][0].as_py(), of_source["__same"][0].as_py())
+        f = int(key[1].as_py())
+        flag, p = np.empty(0, dtype=np.int8), np.empty(0)
+        if len(x):
+            flag, p = flag_sequence(q, x, (1.0 if m.clock else np.inf) if scale is None else scale, 1e-9 if m.clock else 1e-4 if same is None else same, bounds[fields[f]], m, begins=n[0] == 0)
+        at = np.flatnonzero((flag > 0) & (n // m.block == key[2].as_py()))
+        return pa.table({
+            "source": pa.array([key[0].as_py()] * len(at), pa.string()), "seq": q[at], "field": pa.array([fields[f]] * len(at), pa.string()),
+            "flag": pa.array([names[k] for k in flag[at]], pa.string()), "probability": p[at],
+        })
+
+    # Both sides of the cogroup are keyed by source, field and block; the rows' exchange is the one made above.
+    per_block = blocks.select(*keys).distinct().join(own, ["__src", "__f"]).withColumnsRenamed({"__src": "__t", "__f": "__g", "__block": "__c"})
+    return blocks.groupBy(*keys).cogroup(per_block.groupBy("__t", "__g", "__c")).applyInArrow(flags, "source string, seq long, field string, flag string, probability double")
+
+
+def _arrays(part: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of a block in order of its readings' numbers."""
+    order = np.argsort(part["__n"].to_numpy(), kind="stable")
+    return [part[name].to_numpy()[order] for name in names]

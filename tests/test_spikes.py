@@ -86,6 +86,35 @@ def test_first_frame_before_a_pause_is_fine(spark):
     assert run(spark, [("r", k, v) for k, v in enumerate(t)], m, bound=float("inf")) == {}
 
 
+def test_clock_that_changes_its_rate(spark):
+    m = {block: SpikeModel(clock=True, longest_spike=None, shortest_run=2, block=block) for block in (64, 512, 8192)}
+    t = np.concatenate([np.arange(1200) * 25_000.0, 1200 * 25_000.0 + np.arange(1200) * 100_000.0, 1.5e8 + np.arange(300) * 25_000.0])
+    clean = [("r", k, float(v)) for k, v in enumerate(t)]
+    for model in m.values():
+        assert run(spark, clean, model, bound=float("inf")) == {}
+    t[300] += 70_000
+    t[1500] += 250_000
+    t[1700:1703] -= 5e6
+    t[2600] = t[2599]
+    rows = [("r", k * (3 if k > 900 else 1), float(v)) for k, v in enumerate(t)]
+    got = [run(spark, rows, model, bound=float("inf")) for model in m.values()]
+    assert got[0] == got[1] == got[2] and {q for _, q in got[0]} == {300, 4500, 5100, 5103, 5106, 7800}
+
+
+def test_blocks_change_nothing(spark):
+    """Holes wider than any halo, runs of nulls, changing rates of equal readings: the same flags and probabilities."""
+    rng = np.random.default_rng(11)
+    x = np.round(series(4000, 8), 2)
+    x[rng.integers(0, 4000, 60)] += 3
+    x[1000:1100] = np.nan
+    x[2040:2056] = x[2040]
+    x[3000:3500] = np.round(x[3000:3500], 1)
+    q = np.arange(4000) + np.cumsum(rng.random(4000) < 0.01) * 500
+    df = spark.createDataFrame([("s", int(a), float(v), "f", 1) for a, v in zip(q, x)], SCHEMA)
+    found = [sorted(map(tuple, flag_implausible(df, source="src", seq="q", bounds={"x": 16.0}, model=SpikeModel(block=block)).collect())) for block in (64, 512, 8192)]
+    assert len(found[0]) > 60 and found[0] == found[1] == found[2]
+
+
 def test_small_and_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [("a", 1, 2.0)]) == {}
