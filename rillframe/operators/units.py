@@ -3,7 +3,8 @@
 Conversions are edges of a graph, each an affine function. The shortest composition between every two
 units is worked out once, every edge beyond the spanning trees is checked against it, and the table
 of compositions, whose size is the square of the number of units, is joined to the rows by source
-unit and target.
+unit and target. A unit that only a record has, such as the side of its own board, is an edge with the
+record's factor to a unit of the graph, composed with what leads on from there.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_UNITS = 100
+#: So many compositions are broadcast; a larger table is left to the optimizer.
+HELD = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,7 @@ def compositions(edges: Iterable[Edge], tolerance: float = 1e-9) -> list[tuple[s
     """(source, target, factor, offset) of the shortest composition between all connected units.
 
     Raises ValueError if an edge contradicts the composition of others beyond the relative
-    ``tolerance``, if a factor is 0, or if there are more than MAX_UNITS units.
+    ``tolerance``, or if a factor is 0.
     """
     steps: dict[str, list[tuple[str, float, float]]] = {}
     edges = list(edges)
@@ -64,8 +66,6 @@ def compositions(edges: Iterable[Edge], tolerance: float = 1e-9) -> list[tuple[s
             raise ValueError(f"{e.source} to {e.target} can't be inverted")
         steps.setdefault(e.source, []).append((e.target, e.factor, e.offset))
         steps.setdefault(e.target, []).append((e.source, 1 / e.factor, -e.offset / e.factor))
-    if len(steps) > MAX_UNITS:
-        raise ValueError(f"more than {MAX_UNITS} units")
     table: dict[tuple[str, str], tuple[float, float]] = {}
     for unit in sorted(steps):
         table[unit, unit] = (1.0, 0.0)
@@ -88,25 +88,37 @@ def compositions(edges: Iterable[Edge], tolerance: float = 1e-9) -> list[tuple[s
 
 
 def conversion_table(spark: SparkSession, edges: Iterable[Edge]) -> DataFrame:
-    """The compositions as a table of at most MAX_UNITS squared rows."""
-    return spark.createDataFrame(compositions(edges), "__source string, __target string, __factor double, __offset double")
+    """The compositions as a table."""
+    rows = compositions(edges)
+    table = spark.createDataFrame(rows, "__source string, __target string, __factor double, __offset double")
+    return F.broadcast(table) if len(rows) <= HELD else table
 
 
-def convert(df: DataFrame, *, value: str, unit: str, target: Column | str, out: str, edges: Iterable[Edge]) -> DataFrame:
+def convert(df: DataFrame, *, value: str, unit: str, target: Column | str, out: str, edges: Iterable[Edge], own: Mapping[str, tuple[str, Column]] | None = None, same: str | None = None) -> DataFrame:
     """``df`` with the column ``out``: ``value``, a number or an array of numbers, in unit ``target``.
 
-    * Null where value or unit is null or no composition leads from the unit to the target; null
-      elements of an array stay null.
+    ``own`` names units of the record itself: each an edge to a unit of the graph, with a factor of the record.
+    ``same``: a further column that tells whether the conversion changes nothing; null if there is none.
+
+    * Null where value or unit is null or no composition leads from the unit to the target, which a null
+      factor of the record doesn't either; null elements of an array stay null.
     * Rows are kept one for one, in whatever order; columns of ``df`` keep their names.
     """
     goal = F.lit(target) if isinstance(target, str) else target
-    rows = df.withColumns({"__u": F.col(unit), "__goal": goal})
+    anchor, factor = F.col(unit), F.lit(1.0)
+    for name, (to, by) in (own or {}).items():
+        anchor = F.when(F.col(unit) == name, F.lit(to)).otherwise(anchor)
+        factor = F.when(F.col(unit) == name, by.cast("double")).otherwise(factor)
+    rows = df.withColumns({"__u": anchor, "__own": factor, "__goal": goal})
     table = conversion_table(df.sparkSession, edges)
-    joined = rows.join(F.broadcast(table), (F.col("__u") == F.col("__source")) & (F.col("__goal") == F.col("__target")), "left")
+    joined = rows.join(table, (F.col("__u") == F.col("__source")) & (F.col("__goal") == F.col("__target")), "left")
     array = dict(df.dtypes)[value].startswith("array")
-    x = F.col(value)
-    y = F.when(F.col("__factor").isNotNull(), F.transform(x, lambda v: v * F.col("__factor") + F.col("__offset"))) if array else x * F.col("__factor") + F.col("__offset")
-    return joined.withColumn(out, y).drop("__u", "__goal", "__source", "__target", "__factor", "__offset")
+    x, known = F.col(value), F.col("__factor").isNotNull() & F.col("__own").isNotNull()
+    y = F.when(known, F.transform(x, lambda v: v * F.col("__own") * F.col("__factor") + F.col("__offset"))) if array else x * F.col("__own") * F.col("__factor") + F.col("__offset")
+    joined = joined.withColumn(out, y)
+    if same:
+        joined = joined.withColumn(same, (F.col("__own") * F.col("__factor") == 1.0) & (F.col("__offset") == 0.0))
+    return joined.drop("__u", "__own", "__goal", "__source", "__target", "__factor", "__offset")
 
 
 def name_pattern(names: Mapping[str, Sequence[str]]) -> str:

@@ -131,7 +131,7 @@ _LENGTHS = "|".join(sorted((n for names in LENGTH_NAMES.values() for n in names)
 _BY_SIZE = "case when {x} * 1000 between {a} and {b} then 'm' when {x} between {a} and {b} then 'mm' when {x} * 10 between {a} and {b} then 'cm' when {x} / 1000 between {a} and {b} then 'um' when {x} * 25.4 between {a} and {b} then 'in' end"
 _IN_MM = "case {u} when 'm' then 1000 when 'mm' then 1 when 'cm' then 10 when 'um' then 0.001 when 'in' then 25.4 end"
 
-P2_SQL = f"""
+_P2 = f"""
 with names(unit, name) as (values {_named({**LENGTH_NAMES, **SQUARE_NAMES})}),
 c as (select distinct on (calib_id) calib_id, convention, t, baseline, case when json_valid(notes) then notes::json end as j from calibrations),
 f as (select *, json_extract_string(j, '$.board.square_mm') as sq, coalesce(json_extract_string(j, '$.note'), '') as note from c),
@@ -145,12 +145,19 @@ v as (select *, case when regexp_matches(sq, '^\\s*(\\d+\\s+)?\\d+\\s*/') then c
 s as (select *, case when x is not null then coalesce((select any_value(unit) from names where name = own and unit <> 'square'), (select any_value(unit) from names where name = board and unit <> 'square'), (select any_value(unit) from names where name = told and unit <> 'square'), {_BY_SIZE.format(x="x", a=SQUARE_MM[0], b=SQUARE_MM[1])}) end as su from v),
 w as (select *, x * {_IN_MM.format(u="su")} as mm from s),
 u as (select *, case when len(t) > 0 then coalesce((select any_value(unit) from names where name = conv), (select any_value(unit) from names where name = key), (select any_value(unit) from names where name = said), {_BY_SIZE.format(x="len", a=BASELINE_MM[0], b=BASELINE_MM[1])}, case when len * mm between {BASELINE_MM[0]} and {BASELINE_MM[1]} then 'square' end) end as tu from w)
+"""
+
+P2_SQL = f"""{_P2}
 select calib_id, 't' as field, tu as unit from u where tu <> 'm' union all select calib_id, 'square_mm', su from u where su <> 'mm'"""
 
+P2_UNITS_SQL = f"""{_P2}
+select calib_id, 'square_mm' as field, 0 as place, su as unit, round(mm, 9) as value from u where x is not null
+union all select calib_id, 't', e.place, tu, round(e.v * case tu when 'square' then mm * 0.001 when 'm' then 1 when 'mm' then 0.001 when 'cm' then 0.01 when 'um' then 0.000001 when 'in' then 0.0254 end, 9)
+from (select *, unnest(list_transform(list_zip(t, range(len(t))), lambda z: {{'v': z[1], 'place': z[2]::int}})) as e from u)"""
 
-@query()
-def p2_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Every calibration's t in metres and square size in millimetres, with the units they came in.
+
+def calibrations_in_common_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every calibration's t in metres and square size in millimetres, the units they came in, and whether these are the common ones.
 
     Repeated rows of a calibration count once. Where no unit is stated and none fits the size, unit and
     result are null. Broken JSON states nothing beyond what can be read of it.
@@ -161,31 +168,37 @@ def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     number, own_unit = parse_quantity(field("$.board.square_mm"), LENGTH_NAMES)
     rows = rows.withColumns({"square": number, "__own": own_unit})
     stated = F.coalesce("__own", unit_of_name(field("$.board.unit"), LENGTH_NAMES), stated_in_text(text, ABOUT_SQUARE, LENGTH_NAMES))
-    rows = rows.withColumn("square_unit", F.when(F.col("square").isNotNull(), F.coalesce(stated, unit_by_size(F.col("square"), *SQUARE_MM, "mm", BY_SIZE, LENGTHS))))
-    rows = convert(rows, value="square", unit="square_unit", target="mm", out="square_mm", edges=LENGTHS)
+    rows = rows.withColumn("square_unit", F.when(F.col("square").isNotNull(), F.coalesce(stated, unit_by_size(F.col("square"), *SQUARE_MM, "mm", BY_SIZE, LENGTHS)))).drop("__own")
+    rows = convert(rows, value="square", unit="square_unit", target="mm", out="square_mm", edges=LENGTHS, same="square_common")
 
     any_unit = {**LENGTH_NAMES, **SQUARE_NAMES}
     length = F.coalesce("baseline", F.sqrt(F.aggregate(F.filter("t", lambda v: v.isNotNull()), F.lit(0.0), lambda acc, v: acc + v * v)))
     convention = unit_of_name(F.regexp_extract("convention", r"\(t in (.*)\)", 1), any_unit)
     stated_t = F.coalesce(convention, unit_of_name(field("$.translation_units"), any_unit), unit_of_name(field("$.t_unit"), any_unit), stated_in_text(text, ABOUT_T, any_unit))
-    as_squares = F.when((length * F.col("square_mm")).between(*BASELINE_MM), F.lit("square"))
-    by_size = F.coalesce(unit_by_size(length, *BASELINE_MM, "mm", BY_SIZE, LENGTHS), as_squares)
+    # A board's square is a unit of its own record: an edge to millimetres with the record's factor.
+    board = {"square": ("mm", F.col("square_mm"))}
+    rows = rows.withColumns({"length": length, "__square": F.lit("square")})
+    rows = convert(rows, value="length", unit="__square", target="mm", out="__in_squares", edges=LENGTHS, own=board)
+    by_size = F.coalesce(unit_by_size(F.col("length"), *BASELINE_MM, "mm", BY_SIZE, LENGTHS), F.when(F.col("__in_squares").between(*BASELINE_MM), F.lit("square")))
     rows = rows.withColumn("t_unit", F.when(F.col("t").isNotNull() & (F.size("t") > 0), F.coalesce(stated_t, by_size)))
-    # A square is a unit of its own record: an edge to millimetres with the record's factor.
-    in_mm = F.transform("t", lambda v: v * F.col("square_mm"))
-    rows = rows.withColumns({"__t": F.when(F.col("t_unit") == "square", in_mm).otherwise(F.col("t")), "__u": F.when(F.col("t_unit") == "square", F.lit("mm")).otherwise(F.col("t_unit"))})
-    rows = rows.withColumnRenamed("__u", "__from")
-    rows = convert(rows, value="__t", unit="__from", target="m", out="t_m", edges=LENGTHS)
-    return rows.select("calib_id", "t_unit", "t_m", "square_unit", "square_mm")
+    rows = convert(rows, value="t", unit="t_unit", target="m", out="t_m", edges=LENGTHS, own=board, same="t_common")
+    return rows.select("calib_id", "t", "t_unit", "t_m", "t_common", "square", "square_unit", "square_mm", "square_common")
+
+
+@query(P2_UNITS_SQL)
+def p2_units(spark: SparkSession, folder: str) -> DataFrame:
+    """The converted values, each place of t and the square size, with the unit they came in."""
+    rows = calibrations_in_common_units(spark, folder)
+    square = rows.where("square is not null").select("calib_id", F.lit("square_mm").alias("field"), F.lit(0).alias("place"), F.col("square_unit").alias("unit"), F.round("square_mm", 9).alias("value"))
+    each = rows.select("calib_id", "t_unit", "t_m", F.posexplode("t").alias("place", "stored"))
+    t = each.select("calib_id", F.lit("t").alias("field"), "place", F.col("t_unit").alias("unit"), F.round(F.get("t_m", F.col("place")), 9).alias("value"))
+    return square.unionByName(t)
 
 
 @query(P2_SQL)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The fields that aren't in the common unit, and the unit they are in."""
-    rows = p2_units(spark, folder)
-    each = F.array(
-        F.struct(F.lit("t").alias("field"), F.when(F.col("t_unit") != "m", F.col("t_unit")).alias("unit")),
-        F.struct(F.lit("square_mm").alias("field"), F.when(F.col("square_unit") != "mm", F.col("square_unit")).alias("unit")),
-    )
+    """The fields that their conversion to the common unit changes, or which can't be converted, and the unit they are in."""
+    rows = calibrations_in_common_units(spark, folder)
+    each = F.array(*(F.struct(F.lit(name).alias("field"), F.when(~F.coalesce(common, F.lit(False)), F.col(unit)).alias("unit")) for name, unit, common in (("t", "t_unit", F.col("t_common")), ("square_mm", "square_unit", F.col("square_common")))))
     rows = rows.select("calib_id", F.explode(F.filter(each, lambda x: x["unit"].isNotNull())).alias("x"))
     return rows.select("calib_id", "x.field", "x.unit")

@@ -29,8 +29,9 @@ def build_session(master: str = "local[8]", app: str = "rillframe", **conf: str)
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
-    On a cluster it is the shared folder named in ``spark.checkpoint.dir``; only where none is
-    configured (tests, local runs) a temporary folder is set.
+    On a cluster it is the shared folder named in ``spark.checkpoint.dir``, without which this raises
+    ValueError: a machine's own folder would be lost to the others. Only where all runs on one machine (tests,
+    local runs) a temporary folder is set.
     """
     sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
@@ -38,6 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current.isDefined():
         return current.get()
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         configured = os.path.join(tempfile.gettempdir(), "rillframe-checkpoints")
     sc.setCheckpointDir(configured)
     return configured
@@ -55,11 +58,15 @@ def make_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
+#: A table with less than this for every core may lie in too few pieces.
+SMALL_PIECE = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many tasks as there are cores.
+    """``df`` over all cores, for costly work on each row of a table that may lie in few pieces.
 
-    For costly work on each row of a table that lies in few pieces. A table of many pieces, as any large
-    one, is left where it is.
+    Judged by the optimizer's estimate of its size, so nothing is run. A large table is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= cores * SMALL_PIECE else df.repartition(cores)

@@ -74,9 +74,23 @@ ROWS = [
 
 def test_calibrations(spark, tmp_path):
     spark.createDataFrame(ROWS, "calib_id long, convention string, t array<double>, baseline double, notes string").write.parquet(str(tmp_path / "calibrations.parquet"))
-    got = {r["calib_id"]: r for r in problems.p2_units(spark, str(tmp_path)).collect()}
+    got = {r["calib_id"]: r for r in problems.calibrations_in_common_units(spark, str(tmp_path)).collect()}
     assert len(got) == 6
     assert got[2]["t_unit"] == "square" and got[2]["t_m"][0] == pytest.approx(-0.07) and got[2]["t_m"][2] is None
     assert got[5]["t_m"][0] == pytest.approx(-0.07) and got[5]["square_mm"] == pytest.approx(24)
     found = {tuple(r) for r in problems.p2_found(spark, str(tmp_path)).collect()}
     assert found == {(2, "t", "square"), (2, "square_mm", "cm"), (3, "t", "cm"), (5, "t", "mm"), (5, "square_mm", "cm")}
+
+
+def test_units_of_the_record_itself(spark):
+    df = spark.createDataFrame([(1, [2.0, None], "square", 30.0), (2, [2.0], "square", None), (3, [5.0], "m", 30.0), (4, [5.0], None, 30.0), (5, None, "square", 30.0)], "k int, t array<double>, u string, side double")
+    out = convert(df, value="t", unit="u", target="m", out="t_m", edges=LENGTHS, own={"square": ("mm", F.col("side"))}, same="same")
+    got = {r["k"]: (r["t_m"], r["same"]) for r in out.collect()}
+    assert got == {1: ([0.06, None], False), 2: (None, None), 3: ([5.0], True), 4: (None, None), 5: (None, False)}
+    assert out.columns == ["k", "t", "u", "side", "t_m", "same"]
+
+
+def test_many_units():
+    chain = [Edge(f"u{k}", f"u{k + 1}", 2.0) for k in range(150)]
+    table = {(s, t): (a, b) for s, t, a, b in compositions(chain)}
+    assert len(table) == 151**2 and table["u0", "u150"] == (2.0**150, 0.0)
