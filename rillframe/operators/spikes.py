@@ -260,8 +260,11 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
 
     if m.clock:
         step = F.try_divide(F.col("__x") - F.col("__px"), (F.col("__q") - F.col("__pq")).cast("double"))
-        bins = rows.where(step > 0).groupBy("__src", "__f", F.round(F.log(step) * F.lit(4.0 * BINS_PER_E)).alias("__b")).agg(F.count(F.lit(1)).alias("__k"))
-        own = _median(bins, 4.0 * BINS_PER_E).select("__src", "__f", F.col("__middle").alias("__scale"), F.lit(1e-9).alias("__same"))
+        bin_of = F.round(F.log(F.when(step > 0, step)) * F.lit(4.0 * BINS_PER_E))
+        bins = rows.groupBy("__src", "__f", bin_of.alias("__b")).agg(F.count(F.lit(1)).alias("__k"))
+        period = _median(bins.where("__b is not null"), 4.0 * BINS_PER_E).select("__src", "__f", F.col("__middle").alias("__scale"))
+        same = bins.groupBy("__src", "__f").agg(F.lit(1e-9).alias("__same"), F.sum("__k").alias("__all"))
+        own = same.join(period, ["__src", "__f"], "left")
     else:
 
         def histogram(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
@@ -279,7 +282,7 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
         bins = blocks.groupBy(*keys).applyInArrow(histogram, "__src string, __f int, __b long, __k long").groupBy("__src", "__f", "__b").agg(F.sum("__k").alias("__k"))
         scatter = _median(bins.where(F.col("__b") > NONE), float(BINS_PER_E)).select("__src", "__f", (F.col("__middle") / F.lit(0.6745)).alias("__scale"))
         count = {name: F.coalesce(F.sum(F.when(F.col("__b") == code, F.col("__k"))), F.lit(0)) for name, code in (("same", EQUAL), ("all", EQUAL - 1))}
-        same = bins.groupBy("__src", "__f").agg(F.greatest(F.lit(1e-4), F.least(F.lit(0.1), F.try_divide(count["same"], count["all"]))).alias("__same"))
+        same = bins.groupBy("__src", "__f").agg(F.greatest(F.lit(1e-4), F.least(F.lit(0.1), F.try_divide(count["same"], count["all"]))).alias("__same"), count["all"].alias("__all"))
         own = same.join(scatter, ["__src", "__f"], "left")
 
     names = {SPIKE: "spike", STUCK: "stuck", RANGE: "range"}
@@ -298,7 +301,8 @@ def flag_implausible(df: DataFrame, *, source: str, seq: str, bounds: Mapping[st
         })
 
     # Both sides of the cogroup are keyed by source, field and block; the rows' exchange is the one made above.
-    per_block = blocks.select(*keys).distinct().join(own, ["__src", "__f"]).withColumnsRenamed({"__src": "__t", "__f": "__g", "__block": "__c"})
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__all") - 1) / F.lit(m.block))))
+    per_block = own.where("__all > 0").select(F.col("__src").alias("__t"), F.col("__f").alias("__g"), every.alias("__c"), "__scale", "__same")
     return blocks.groupBy(*keys).cogroup(per_block.groupBy("__t", "__g", "__c")).applyInArrow(flags, "source string, seq long, field string, flag string, probability double")
 
 
