@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillframe.functions import geometry as G
-from rillframe.kernels import rotations as R
 from rillframe.operators.folds import ordered_fold
 
 
@@ -92,62 +91,70 @@ def rigid_fits(df: DataFrame, *, by: Sequence[str], a: Sequence[str], b: Sequenc
     return sums.mapInPandas(run, schema)
 
 
-def corner_sharpness(image: np.ndarray, corners: np.ndarray, patch: int = 4) -> float:
-    """Median over corners of the steepest edge in a patch, in terms of the patch's contrast; 0 where nothing has contrast."""
-    values = []
-    for x, y in np.rint(corners).astype(int):
-        w = image[max(0, y - patch) : y + patch + 1, max(0, x - patch) : x + patch + 1].astype(float)
-        span = w.max() - w.min() if w.size else 0.0
-        if span < 8:
-            continue
-        p = np.pad(w, 1, mode="reflect")
-        smooth = lambda q, axis: q[:-2] + 2 * q[1:-1] + q[2:] if axis == 0 else q[:, :-2] + 2 * q[:, 1:-1] + q[:, 2:]
-        gx, gy = smooth(p[:, 2:] - p[:, :-2], 0), smooth(p[2:] - p[:-2], 1)
-        values.append(float(np.hypot(gx, gy).max()) / (4 * span))
-    return float(np.median(values)) if values else 0.0
+def edge_contrast(image: np.ndarray, corners: np.ndarray, reach: int = 4, least: int = 8) -> np.ndarray:
+    """For each corner whose surroundings have contrast, the steepest slope there as a share of it.
+
+    Surroundings are the ``reach`` pixels on either side, as far as the image goes; they are mirrored at their
+    own edges. Corners with a contrast below ``least`` are left out.
+    """
+    at = np.rint(corners).astype(int)
+    low, high = np.maximum(at - reach, 0), np.minimum(at + reach + 1, image.shape[::-1])
+    extent = high - low
+    found = [np.empty(0)]
+    for width, height in np.unique(extent[(extent > 0).all(axis=1)], axis=0):
+        first = low[(extent == (width, height)).all(axis=1)]
+        mirror = [np.abs((n - 1) - np.abs((n - 1) - np.arange(-1, n + 1))) % n for n in (width, height)]
+        tiles = image[(first[:, 1, None] + mirror[1])[:, :, None], (first[:, 0, None] + mirror[0])[:, None, :]].astype(float)
+        middle = tiles[:, 1:-1, 1:-1]
+        contrast = middle.max(axis=(1, 2)) - middle.min(axis=(1, 2))
+        across, down = tiles[:, :, 2:] - tiles[:, :, :-2], tiles[:, 2:] - tiles[:, :-2]
+        slope = np.hypot(across[:, :-2] + 2 * across[:, 1:-1] + across[:, 2:], down[:, :, :-2] + 2 * down[:, :, 1:-1] + down[:, :, 2:]).max(axis=(1, 2)) / 4
+        found.append(slope[contrast >= least] / contrast[contrast >= least])
+    return np.concatenate(found)
 
 
 def image_sharpness(df: DataFrame, *, keys: Sequence[str], image: str, width: str, corners: str) -> DataFrame:
-    """``corner_sharpness`` of grey images held as bytes, a row at a time: keys, ``sharpness``."""
+    """Median ``edge_contrast`` at the corners of grey images held as bytes: keys, ``sharpness``; 0 where nothing has contrast."""
     types = dict(df.dtypes)
 
+    def of(data: bytes, columns: int, places: Sequence[Sequence[float]]) -> float:
+        sharp = edge_contrast(np.frombuffer(data, np.uint8).reshape(-1, columns), np.array([list(p) for p in places], float).reshape(-1, 2))
+        return float(np.median(sharp)) if len(sharp) else 0.0
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            out = part[list(keys)].copy()
-            out["sharpness"] = [corner_sharpness(np.frombuffer(i, np.uint8).reshape(-1, w), np.array([list(p) for p in c], float).reshape(-1, 2)) for i, w, c in zip(part[image], part[width], part[corners])]
-            yield out
+            yield part[list(keys)].assign(sharpness=[of(*row) for row in zip(part[image], part[width], part[corners])])
 
     return df.select(*keys, image, width, corners).mapInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in keys), "sharpness double"]))
 
 
-def depth_agreement(a: dict[str, np.ndarray], b: dict[str, np.ndarray], stride: int, quantile: float, tolerance: float) -> float:
-    """Share of one view's confident depths that another view's depths confirm.
+def depth_overlap(pairs: DataFrame, views: DataFrame, pixels: DataFrame, *, stride: int = 4, quantile: float = 0.5, tolerance: float = 0.1) -> DataFrame:
+    """How far two views' depths confirm each other: ``a``, ``b``, ``overlap``, the lesser share of both directions.
 
-    A view has ``depth`` and ``confidence`` images, ``focal`` and ``middle`` pairs, and a world-to-camera
-    ``pose`` row of seven numbers.
+    ``pairs`` has views a and b; ``views`` has view, pose (world to camera), fx, fy, cx, cy; ``pixels`` has view, u, v,
+    depth, confidence, one row per pixel. Depths count that are positive and among the more confident ones of their
+    view. Of one view every ``stride``-th pixel is taken each way, placed in the world and looked up in the other.
+    A pair of which one view has nothing to take gets 0.
     """
-    ya, xa = (g.ravel() for g in np.meshgrid(*(np.arange(stride // 2, n, stride) for n in a["depth"].shape), indexing="ij"))
-    z, c = a["depth"][ya, xa], a["confidence"][ya, xa]
-    if not np.isfinite(c).any() or not np.isfinite(b["confidence"]).any():
-        return 0.0
-    good = np.isfinite(z) & (z > 0) & np.isfinite(c) & (c >= np.quantile(c[np.isfinite(c)], quantile))
-    if not good.any():
-        return 0.0
-    ya, xa, z = ya[good], xa[good], z[good]
-    ray = np.stack([(xa - a["middle"][0]) / a["focal"][0], (ya - a["middle"][1]) / a["focal"][1], np.ones(len(z))], axis=1)
-    world = R.rotate(R.conjugate(a["pose"][:4]), ray * z[:, None] - a["pose"][4:])
-    there = R.rotate(b["pose"][:4], world) + b["pose"][4:]
-    front = there[:, 2] > 0
-    there = there[front]
-    u = np.rint(b["focal"][0] * there[:, 0] / there[:, 2] + b["middle"][0]).astype(int)
-    v = np.rint(b["focal"][1] * there[:, 1] / there[:, 2] + b["middle"][1]).astype(int)
-    inside = (u >= 0) & (u < b["depth"].shape[1]) & (v >= 0) & (v < b["depth"].shape[0])
-    seen, conf, zt = b["depth"][v[inside], u[inside]], b["confidence"][v[inside], u[inside]], there[inside, 2]
-    limit = np.quantile(b["confidence"][np.isfinite(b["confidence"])], quantile)
-    ok = np.isfinite(seen) & (seen > 0) & np.isfinite(conf) & (conf >= limit) & (np.abs(zt - seen) <= tolerance * np.maximum(np.minimum(zt, seen), 1e-6))
-    return float(ok.sum() / len(z))
-
-
-def depth_overlap(a: dict[str, np.ndarray], b: dict[str, np.ndarray], stride: int = 4, quantile: float = 0.5, tolerance: float = 0.1) -> float:
-    """The lesser of both directions' agreement."""
-    return min(depth_agreement(a, b, stride, quantile, tolerance), depth_agreement(b, a, stride, quantile, tolerance))
+    sure = F.col("confidence").isNotNull() & ~F.isnan("confidence") & (F.abs("confidence") < float("inf"))
+    solid = (F.col("depth") > 0) & (F.col("depth") < float("inf")) & ~F.isnan("depth")
+    limits = pixels.where(sure).groupBy("view").agg(F.percentile("confidence", quantile).alias("limit"))
+    good = pixels.where(sure & solid).join(limits, "view").where("confidence >= limit").select("view", "u", "v", "depth").join(views, "view")
+    taken = good.where(F.pmod(F.col("u") - stride // 2, F.lit(stride)) == 0).where(F.pmod(F.col("v") - stride // 2, F.lit(stride)) == 0)
+    z = F.col("depth")
+    ray = G.vec((F.col("u") - F.col("cx")) / F.col("fx") * z, (F.col("v") - F.col("cy")) / F.col("fy") * z, z)
+    placed = taken.select(F.col("view").alias("__from"), G.transform_point(G.pose_inverse(F.col("pose")), ray).alias("__world"))
+
+    both = pairs.select("a", "b").distinct()
+    ways = both.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("__from"), F.col("b").alias("__to")), F.struct(F.col("b").alias("__from"), F.col("a").alias("__to")))).alias("w")).select("a", "b", "w.*")
+    there = views.select(F.col("view").alias("__to"), F.col("pose").alias("__pose"), *(F.col(c).alias(f"__{c}") for c in ("fx", "fy", "cx", "cy")))
+    seen = ways.join(placed, "__from").join(there, "__to").withColumn("__p", G.transform_point(F.col("__pose"), F.col("__world")))
+    depth = F.col("__p.z")
+    ahead = depth > 0
+    seen = seen.withColumns({"u": F.when(ahead, F.rint(F.col("__fx") * F.col("__p.x") / depth + F.col("__cx"))).cast("long"), "v": F.when(ahead, F.rint(F.col("__fy") * F.col("__p.y") / depth + F.col("__cy"))).cast("long")})
+    target = good.select(F.col("view").alias("__to"), F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("depth").alias("__d"))
+    met = seen.join(target, ["__to", "u", "v"], "left")
+    near = F.abs(depth - F.col("__d")) <= F.lit(tolerance) * F.greatest(F.least(depth, F.col("__d")), F.lit(1e-6))
+    share = met.groupBy("a", "b", "__from").agg(F.avg(F.coalesce(near, F.lit(False)).cast("double")).alias("__share"))
+    least = share.groupBy("a", "b").agg(F.when(F.count(F.lit(1)) == F.when(F.col("a") == F.col("b"), 1).otherwise(2), F.min("__share")).alias("overlap"))
+    return both.join(least, ["a", "b"], "left").select("a", "b", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))

@@ -27,9 +27,9 @@ def usable(c: Column) -> Column:
 
 
 def seconds_to_us(c: Column) -> Column:
-    """Whole microseconds of a time in seconds, rounded down; null where it isn't finite or out of range."""
+    """Whole microseconds of a time in seconds, rounded down; null where it isn't finite or beyond the range of such numbers."""
     us = F.floor(c * F.lit(1e6))
-    return F.when(finite(c) & (F.abs(c) < F.lit(2.0e12)), us)
+    return F.when(finite(c) & (F.abs(c) < F.lit(9.2e12)), us)
 
 
 def regular_grid(df: DataFrame, *, entity: Sequence[str], time_us: Column, values: Sequence[str], width_us: int, max_gap_us: int, block_slots: int = BLOCK_SLOTS) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.functions import geometry as G
+from rillframe.kernels.exposure import Metering
 from rillframe.operators.asof import interpolate
 from rillframe.operators.folds import ordered_fold
 
 
-
 def _multiply(a: Sequence[float], b: Sequence[float]) -> tuple[float, float, float, float]:
     return (
         a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3],
@@ -144,24 +144,19 @@ def smooth_both_ways(df: DataFrame, *, by: Sequence[str], time: str, value: str,
     return rows.groupBy(*by, "__b").applyInPandas(run, schema)
 
 
-def exposure_steps(df: DataFrame, *, by: Sequence[str], order: Sequence[str], level: str, target: float = 0.45, deadband: float = 0.08, damping: float = 0.25, most: float = 0.5, gain_range: tuple[float, float] = (1.0, 16.0), exposure_range: tuple[float, float] = (1.0, 20.0)) -> DataFrame:
-    """A controller that follows metered levels: entity, ``step``, ``exposure``, ``gain``.
+def exposure_steps(df: DataFrame, *, by: Sequence[str], order: Sequence[str], level: str, metering: Metering | None = None) -> DataFrame:
+    """A controller that follows metered levels: entity, ``step``, ``exposure``, ``gain`` after each.
 
-    Outside the dead band the product of exposure and gain moves by the damped logarithm of target over
-    level, at most log(1 + ``most``) a step; gain takes what it can, exposure the rest.
+    Null and NaN levels change nothing. Each step depends on the one before, so an entity is one pass.
     """
+    m = metering or Metering()
 
     def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         n, exposure, gain = state
-        metered = row[-1]
-        if metered is not None and metered == metered and metered > 0 and abs(metered - target) > deadband * target:
-            limit = math.log1p(most)
-            wanted = exposure * gain * math.exp(max(-limit, min(limit, damping * math.log(target / metered))))
-            gain = min(max(wanted / exposure, gain_range[0]), gain_range[1])
-            exposure = min(max(wanted / gain, exposure_range[0]), exposure_range[1])
+        exposure, gain = m.follow(row[-1], exposure, gain)
         return (n + 1, exposure, gain), [(n, exposure, gain)]
 
     rows = df.select(*by, *order, F.col(level).cast("double").alias("__level"))
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in by), "step bigint, exposure double, gain double"])
-    return ordered_fold(rows, by=by, order=order, start=lambda: (0, exposure_range[0], gain_range[0]), step=step, schema=schema)
+    return ordered_fold(rows, by=by, order=order, start=lambda: (0, *m.first), step=step, schema=schema)

@@ -158,11 +158,11 @@ def cadence_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-with s as (select distinct stream_id, sample, host_time_s as t from imu_sample where host_time_s is not null and host_time_s < 2e12)
+with s as (select distinct stream_id, sample, host_time_s as t from imu_sample where host_time_s is not null)
 select stream_id, sample, round(t::decimal(28,9) * 1000000, 0)::bigint as half_up, round_even(t * 1e6, 0)::bigint as half_even, trunc(t * 1e6)::bigint as cut, floor(t * 1e6)::bigint as floored from s""")
 def rounding_modes(spark: SparkSession, folder: str) -> DataFrame:
     """The four ways from seconds to microseconds."""
-    s = table(spark, folder, "imu_sample").select("stream_id", "sample", F.col("host_time_s").alias("t")).where("t is not null and t < 2e12").dropDuplicates(["stream_id", "sample"])
+    s = table(spark, folder, "imu_sample").select("stream_id", "sample", F.col("host_time_s").alias("t")).where("t is not null").dropDuplicates(["stream_id", "sample"])
     t = F.col("t")
     return s.select("stream_id", "sample", scalars.us_half_up(t).alias("half_up"), scalars.us_half_even(t).alias("half_even"), scalars.us_truncated(t).alias("cut"), scalars.us_floored(t).alias("floored"))
 

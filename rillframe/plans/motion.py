@@ -77,7 +77,7 @@ def pose_chain(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def ema_bidirectional(spark: SparkSession, folder: str) -> DataFrame:
     """Skew smoothed forwards and backwards."""
-    rows = frames(spark, folder).where("skew_us is not null and abs(skew_us) < 1000000").select("recording_id", F.col("t_left_us").alias("t"), F.col("skew_us").cast("double").alias("skew"))
+    rows = frames(spark, folder).where("skew_us is not null").select("recording_id", F.col("t_left_us").alias("t"), F.col("skew_us").cast("double").alias("skew"))
     out = K.smooth_both_ways(rows, by=["recording_id"], time="t", value="skew", tau=0.2)
     return out.select("recording_id", "t", F.round("smooth", 4).alias("smooth"))
 

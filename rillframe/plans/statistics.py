@@ -47,10 +47,10 @@ def nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
     return stats.nearest_rank(table(spark, folder, "lineitem"), by=["l_orderkey"], value="l_extendedprice", fractions={"median": 0.5, "p95": 0.95}, width=10_000.0)
 
 
-@query(f"select recording_id, round(atan2(avg(sin(a)), avg(cos(a))) * (25000.0 / (2 * pi())), 3) as phase from (select recording_id, skew_us * (2 * pi() / 25000.0) as a from ({FRAMES_SQL}) where abs(skew_us) < 1000000) group by 1")
+@query(f"select recording_id, round(atan2(avg(sin(a)), avg(cos(a))) * (25000.0 / (2 * pi())), 3) as phase from (select recording_id, skew_us * (2 * pi() / 25000.0) as a from ({FRAMES_SQL}) where skew_us is not null) group by 1")
 def circular_mean(spark: SparkSession, folder: str) -> DataFrame:
     """Mean phase between the eyes, as part of a period of 25 ms."""
-    rows = frames(spark, folder).where("abs(skew_us) < 1000000")
+    rows = frames(spark, folder).where("skew_us is not null")
     return rows.groupBy("recording_id").agg(F.round(stats.circular_mean(F.col("skew_us").cast("double"), 25_000.0), 3).alias("phase"))
 
 

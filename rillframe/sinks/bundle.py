@@ -23,20 +23,28 @@ def filled_for_export(df: DataFrame) -> DataFrame:
     return df.select(*(F.coalesce(F.col(c), put[t]).alias(c) if t in put else F.col(c) for c, t in df.dtypes))
 
 
-def publish(df: DataFrame, path: str, *, overwrite: bool = False, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """Writes beside ``path`` and renames when all is there; nothing half written is ever seen. Fails if ``path`` exists, unless told to overwrite."""
+def publish(df: DataFrame, path: str, *, overwrite: bool = False, partition_by: Sequence[str] = (), fmt: str = "parquet", options: Mapping[str, str] | None = None) -> None:
+    """Writes beside ``path`` and renames when all is there; nothing half written is ever seen. Fails if ``path`` exists, unless told to overwrite.
+
+    What is overwritten is moved aside first and deleted last, and put back if the new can't take its place.
+    """
     spark = df.sparkSession
     fs, target, hadoop = _filesystem(spark, path)
     if fs.exists(target) and not overwrite:
         raise FileExistsError(path)
-    part = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
-    temp = hadoop.fs.Path(part)
+    name = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    temp, aside = hadoop.fs.Path(f"{name}.part"), hadoop.fs.Path(f"{name}.old")
     try:
-        df.write.format(fmt).partitionBy(*partition_by).save(part)
-        if fs.exists(target):
-            fs.delete(target, True)
+        df.write.format(fmt).options(**(options or {})).partitionBy(*partition_by).save(f"{name}.part")
+        moved = fs.exists(target)
+        if moved and not fs.rename(target, aside):
+            raise OSError(f"can't move {path} aside")
         if not fs.rename(temp, target):
+            if moved:
+                fs.rename(aside, target)
             raise OSError(f"can't rename to {path}")
+        if moved:
+            fs.delete(aside, True)
     finally:
         if fs.exists(temp):
             fs.delete(temp, True)
@@ -69,16 +77,7 @@ def rewrite_csv(spark: SparkSession, source: str, target: str, keep: Column, rep
     """Rows of a CSV for which ``keep`` holds, with header; values are passed on as they are written, but for those replaced."""
     df = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\u0000").csv(source).where(keep)
     out = df.withColumns({k: v.cast("string") for k, v in (replace or {}).items()}) if replace else df
-    part = f"{target}.{uuid.uuid4().hex}.part"
-    out.select(*df.columns).write.option("header", True).option("emptyValue", "").option("quoteAll", False).csv(part)
-    fs, goal, hadoop = _filesystem(spark, target)
-    temp = hadoop.fs.Path(part)
-    if fs.exists(goal):
-        if not overwrite:
-            fs.delete(temp, True)
-            raise FileExistsError(target)
-        fs.delete(goal, True)
-    fs.rename(temp, goal)
+    publish(out.select(*df.columns), target, overwrite=overwrite, fmt="csv", options={"header": "true", "emptyValue": "", "quoteAll": "false"})
 
 
 def write_json_lines(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
@@ -103,17 +102,26 @@ def merge_sections(old: DataFrame, new: DataFrame, *, key: str, sections: Sequen
     return both.select(key, *(F.coalesce(s, f"__{s}").alias(s) for s in sections))
 
 
-def wrong_cuts(source: DataFrame, cut: DataFrame) -> DataFrame:
+def wrong_cuts(source: DataFrame, cut: DataFrame, chunks: DataFrame) -> DataFrame:
     """Cuts that aren't their source's packets byte for byte: recording_id, chunk, ``reason``.
 
-    ``source`` has recording_id, frame, size, is_key; ``cut`` has recording_id, chunk, start_frame and
-    one row per packet: frame (from 0), size, is_key.
+    ``chunks`` has recording_id, chunk, start_frame and end_frame, which belongs to it. ``source`` has recording_id,
+    frame, size, is_key; ``cut`` has recording_id, chunk and one row per packet: frame (from 0), size, is_key. Cuts of
+    chunks that aren't listed are wrong, as are packets missing at either end.
     """
-    at = cut.withColumn("__f", F.col("frame") + F.col("start_frame"))
-    both = at.join(source.select("recording_id", F.col("frame").alias("__f"), F.col("size").alias("__s")), ["recording_id", "__f"], "left")
-    bad = both.groupBy("recording_id", "chunk").agg(F.sum(F.when(F.col("size").eqNullSafe(F.col("__s")), 0).otherwise(1)).alias("n"), F.min_by("is_key", "frame").alias("k"))
-    reason = F.when(F.col("n") > 0, "packets differ").when(~F.col("k"), "does not start with a key frame")
-    return bad.select("recording_id", "chunk", reason.alias("reason")).where("reason is not null")
+    keys = ["recording_id", "chunk"]
+    frames = chunks.select(*keys, "start_frame", F.explode(F.sequence("start_frame", "end_frame")).alias("__f"))
+    due = frames.join(source.select("recording_id", F.col("frame").alias("__f"), F.col("size").alias("__size")), ["recording_id", "__f"], "left")
+    due = due.select(*keys, (F.col("__f") - F.col("start_frame")).alias("frame"), "__size", F.lit(True).alias("__due"))
+    both = due.join(cut.select(*keys, "frame", "size", "is_key", F.lit(True).alias("__cut")), [*keys, "frame"], "full")
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    bad = both.groupBy(*keys).agg(
+        count(F.col("__cut").isNull()).alias("missing"), count(F.col("__due").isNull()).alias("extra"),
+        count(F.col("__cut").isNotNull() & F.col("__due").isNotNull() & ~F.col("size").eqNullSafe(F.col("__size"))).alias("other"), F.min_by("is_key", "frame").alias("key"),
+    )
+    reason = F.when(F.col("missing") > 0, "packets missing").when(F.col("extra") > 0, "packets too many").when(F.col("other") > 0, "packets differ")
+    reason = reason.when(~F.coalesce("key", F.lit(False)), "does not start with a key frame")
+    return bad.select(*keys, reason.alias("reason")).where("reason is not null")
 
 
 def run_summary(stages: Mapping[str, float], spark: SparkSession) -> DataFrame:

@@ -124,8 +124,8 @@ def largest_hands(observations: DataFrame, *, right: bool, by_width: bool = Fals
 
 
 def read_loop_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Loop candidates; either spelling of the frames, votes as score where none is given."""
-    raw = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", LOOPS).alias("r")).select("r.*")
+    """Loop candidates; either spelling of the frames, votes as score where none is given. A broken line fails the scan."""
+    raw = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", LOOPS, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     return raw.select(F.coalesce("frame_a", "frame0").alias("frame_a"), F.coalesce("frame_b", "frame1").alias("frame_b"), F.coalesce("score", "n_votes").alias("score"), "n_votes", F.coalesce("pair_type", F.lit("temporal")).alias("pair_type"))
 
 

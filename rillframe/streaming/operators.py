@@ -117,11 +117,16 @@ def batch_profile(df: DataFrame, *, key: str, number: str, every: int = 100) ->
 
 
 def paired_in_time(left: DataFrame, right: DataFrame, *, key: str, time: str, tolerance: str, watermark: str) -> DataFrame:
-    """Left and right rows of a key within a tolerance, as a join of two streams: key, ``left_time``, ``right_time``."""
+    """For each left row of a key the nearest right one within a tolerance, the earlier of two, as a join of streams: key, ``left_time``, ``right_time``.
+
+    A left row comes out once the watermark has passed all that could lie nearer.
+    """
     a = left.withWatermark(time, watermark).select(F.col(key).alias("__k"), F.col(time).alias("left_time"))
     b = right.withWatermark(time, watermark).select(F.col(key), F.col(time).alias("right_time"))
     near = F.col("right_time").between(F.col("left_time") - F.expr(f"interval {tolerance}"), F.col("left_time") + F.expr(f"interval {tolerance}"))
-    return a.join(b, (F.col("__k") == F.col(key)) & near).select(key, "left_time", "right_time")
+    off = F.abs(F.unix_micros("right_time") - F.unix_micros("left_time"))
+    pairs = a.join(b, (F.col("__k") == F.col(key)) & near)
+    return pairs.groupBy(key, "left_time").agg(F.min(F.struct(off.alias("off"), "right_time")).alias("best")).select(key, "left_time", F.col("best.right_time").alias("right_time"))
 
 
 def each_sample(callback: Callable[[dict], None], warn: Callable[[Exception], None] = print) -> Callable[[DataFrame, int], None]:

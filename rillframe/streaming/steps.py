@@ -6,19 +6,25 @@ run in a stream and in an ordered fold over a table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import Any
 
+from rillframe.kernels.exposure import Metering
+
 Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
 
 
 def pair_heads(window: int) -> Step:
-    """Rows with ``side`` 0 or 1 and ``t``: heads within the window pair up, otherwise the older one falls. Out: left, right."""
+    """Rows with ``side`` 0 or 1 and ``t``: heads within the window pair up, otherwise the older one falls. Out: left, right.
+
+    Sides come in order of time, so what is more than the window older than a row of either side meets nothing any
+    more and falls: a side that is silent doesn't make the other's queue grow.
+    """
 
     def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
         queues = state or [[], []]
         queues[row["side"]].append(row["t"])
+        queues = [[t for t in q if t >= row["t"] - window] for q in queues]
         out = []
         while queues[0] and queues[1]:
             a, b = queues[0][0], queues[1][0]
@@ -60,20 +66,18 @@ def bounded_queue(depth: int, drop: str) -> Step:
 
 
 def mailbox(period: int) -> Step:
-    """The latest value at a fixed rate: out are tick, value and how often it was sent before; later ticks catch up at most one period."""
+    """The latest value at a fixed rate, from the first row on. Out: tick, value, how often it was sent before.
+
+    A tick without a new value repeats the last one; of several values between two ticks the last is sent.
+    """
 
     def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
         t, value = row["t"], row["v"]
         if state is None:
             return [t, value, 0], []
         tick, latest, sent = state
-        out = []
-        due = (t - tick) // period
-        if due > 0:
-            tick += due * period if due > 1 else period
-            out.append((tick, latest, sent))
-            sent += 1
-        return [tick, value, 0 if value != latest or not out else sent], out
+        due = max(0, (t - tick) // period)
+        return [tick + due * period, value, 0], [(tick + k * period, latest, sent + k - 1) for k in range(1, due + 1)]
 
     return step
 
@@ -99,34 +103,38 @@ def drift_warning(limit: float, every: int) -> Step:
     return step
 
 
-def exposure(target: float = 0.45, deadband: float = 0.08, damping: float = 0.25, most: float = 0.5, gains: tuple[float, float] = (1.0, 16.0), exposures: tuple[float, float] = (1.0, 20.0)) -> Step:
-    """A damped controller; see ``exposure_steps``. Out: t, exposure, gain."""
+def exposure(metering: Metering | None = None) -> Step:
+    """The controller of ``kernels.exposure``. Out: t, exposure, gain."""
+    m = metering or Metering()
 
     def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
-        e, g = state or [exposures[0], gains[0]]
-        level = row["v"]
-        if level is not None and level > 0 and abs(level - target) > deadband * target:
-            limit = math.log1p(most)
-            wanted = e * g * math.exp(max(-limit, min(limit, damping * math.log(target / level))))
-            g = min(max(wanted / e, gains[0]), gains[1])
-            e = min(max(wanted / g, exposures[0]), exposures[1])
-        return [e, g], [(row["t"], e, g)]
+        now = m.follow(row["v"], *(state or m.first))
+        return [*now], [(row["t"], *now)]
 
     return step
 
 
 def deferred_write(hold: int = 2) -> Step:
-    """A setting asked for in ``v`` is written after ``hold`` further frames, during which nothing new is taken. Out: t, v."""
+    """Settings asked for in ``exposure`` and ``gain``, written so that no picture is too bright.
+
+    A single change is written at once. Where both change, what gives less light is written at once and the other
+    ``hold`` rows later; until then nothing new is taken. Out: t, and the exposure and gain in effect.
+    """
 
     def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
-        pending, left, now = state or [None, 0, None]
-        if pending is not None:
-            left -= 1
-            if left <= 0:
-                return [None, 0, pending], [(row["t"], pending)]
-            return [pending, left, now], []
-        if row["v"] is not None and row["v"] != now:
-            return [row["v"], hold, now], []
-        return [None, 0, now], []
+        wanted = [row["exposure"], row["gain"]]
+        now, waiting = (wanted, None) if state is None else ([*state[0]], state[1])
+        if waiting is not None:
+            which, value, left = waiting
+            waiting = [which, value, left - 1] if left > 1 else None
+            if waiting is None:
+                now[which] = value
+        elif abs(wanted[0] - now[0]) > 1e-4 and abs(wanted[1] - now[1]) > 1e-3:
+            later = 1 if wanted[0] < now[0] else 0
+            now[1 - later] = wanted[1 - later]
+            waiting = [later, wanted[later], hold]
+        else:
+            now = wanted
+        return [now, waiting], [(row["t"], *now)]
 
     return step

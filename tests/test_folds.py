@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillframe.functions import geometry as G
 from rillframe.kernels import rotations as R
+from rillframe.kernels.exposure import Metering
 from rillframe.operators import folds, kinematics, sequence, spatial, stats
 
 
@@ -114,11 +115,24 @@ def test_smoothing_in_blocks(spark):
 
 
 def test_exposure(spark):
-    df = spark.createDataFrame([("a", k, v) for k, v in enumerate([0.05] * 20 + [0.45, 0.46, None, 0.9, 0.9])], "e string, k long, v double")
+    levels = [0.0] * 60 + [0.35, 0.36, None, float("nan"), 0.33] + [0.9] * 80 + [0.2] * 30
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(levels)], "e string, k long, v double")
     rows = kinematics.exposure_steps(df, by=["e"], order=["k"], level="v").orderBy("step").collect()
-    assert rows[0]["exposure"] * rows[0]["gain"] == pytest.approx(math.exp(min(math.log(1.5), 0.25 * math.log(9))))
-    assert rows[21]["gain"] == rows[20]["gain"] == rows[22]["gain"] and rows[24]["gain"] < rows[21]["gain"]
-    assert max(r["gain"] for r in rows) <= 16
+    assert {r["exposure"] for r in rows} == {8.3333, 16.6667}
+    # A black picture asks for the most light a step may add.
+    assert rows[0]["exposure"] * rows[0]["gain"] == pytest.approx(8.3333 * 1.5)
+    # Gain first: the longer exposure only when gain is at its end, and back with a tenth of it to spare.
+    longer = [r for r in rows if r["exposure"] > 10]
+    assert longer[0]["gain"] * longer[0]["exposure"] > 16 * 8.3333 and rows[59]["gain"] == 16
+    assert [rows[k]["gain"] for k in range(60, 65)] == [rows[59]["gain"]] * 5
+    down = next(k for k in range(65, 145) if rows[k]["exposure"] < 10)
+    assert rows[down]["gain"] <= 16 * 0.9 < rows[down - 1]["gain"] * 2
+    assert all(1 <= r["gain"] <= 16 for r in rows)
+
+
+def test_exposures_without_flicker():
+    assert Metering(flicker_hz=0).allowed == (5.0,) and Metering(flicker_hz=50).allowed == (10.0,)
+    assert Metering(exposures=(1.0, 5.0)).allowed == (1.0,)
 
 
 def test_radius_pairs(spark):

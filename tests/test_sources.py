@@ -94,9 +94,16 @@ def test_video(spark):
     for rows, why in (([("a", 0, 0.0, 9, "__")], "key"), ([("a", 0, 1.0, 9, "K"), ("a", 1, 0.5, 9, "_")], "grow"), ([("a", 0, None, 9, "K")], "no time")):
         with pytest.raises(Exception, match=why):
             recordings.video_index(spark.createDataFrame(rows, schema)).collect()
-    cut = idx.where("frame = 1").select("recording_id", F.lit(0).alias("chunk"), F.lit(1).cast("long").alias("start_frame"), F.lit(0).cast("long").alias("frame"), "size", "is_key")
-    assert bundle.wrong_cuts(idx, cut).first()["reason"] == "does not start with a key frame"
-    assert bundle.wrong_cuts(idx, cut.withColumn("size", F.lit(4).cast("long"))).first()["reason"] == "packets differ"
+    cut = idx.where("frame = 1").select("recording_id", F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("frame"), "size", "is_key")
+    chunks = spark.createDataFrame([("a", 0, 1, 1)], "recording_id string, chunk int, start_frame long, end_frame long")
+    why = lambda cut, chunks=chunks: [r["reason"] for r in bundle.wrong_cuts(idx, cut, chunks).collect()]
+    assert why(cut) == ["does not start with a key frame"]
+    assert why(cut.withColumn("size", F.lit(4).cast("long"))) == ["packets differ"]
+    whole = chunks.withColumn("start_frame", F.lit(0).cast("long"))
+    all_of_it = idx.select("recording_id", F.lit(0).alias("chunk"), "frame", "size", "is_key")
+    assert why(all_of_it, whole) == []
+    assert why(all_of_it.where("frame = 0"), whole) == why(all_of_it.where("frame = 1"), whole) == why(all_of_it.limit(0), whole) == ["packets missing"]
+    assert why(all_of_it, chunks.withColumn("start_frame", F.lit(0).cast("long")).withColumn("end_frame", F.lit(0).cast("long"))) == ["packets too many"]
 
 
 def test_npz(spark, tmp_path):
@@ -136,7 +143,10 @@ def test_publish_and_bundle(spark, tmp_path):
     with pytest.raises(FileExistsError):
         bundle.publish(df, path + "/frames")
     bundle.publish(df, path + "/frames", overwrite=True)
-    assert not [p for p in (tmp_path / "b").iterdir() if p.name.endswith(".part")]
+    assert not [p for p in (tmp_path / "b").iterdir() if p.name.endswith((".part", ".old"))]
+    with pytest.raises(Exception, match="no such"):
+        bundle.publish(df.select(F.raise_error(F.lit("no such")).alias("x")), path + "/frames", overwrite=True)
+    assert spark.read.parquet(path + "/frames").count() == 1
     spark.createDataFrame([(9, ["frames"])], "version int, tables array<string>").write.mode("overwrite").parquet(path + "/bundle")
     with pytest.raises(ValueError):
         bundle.read_bundle(spark, path)

@@ -38,23 +38,47 @@ CASES = {
     "sequence": (steps.sequence(), "n long, t long"),
     "drift": (steps.drift_warning(0.6, 200), "t long, v double"),
     "exposure": (steps.exposure(), "t long, e double, g double"),
-    "deferred": (steps.deferred_write(), "t long, v double"),
+    "deferred": (steps.deferred_write(), "t long, e double, g double"),
 }
 
 
 def test_steps_over_a_table(spark):
-    df = spark.createDataFrame(samples(), SCHEMA)
+    df = spark.createDataFrame(samples(), SCHEMA).withColumns({"exposure": F.round("v", 1), "gain": F.round(10 - 9 * F.col("v"), 0)})
     for name, (step, schema) in CASES.items():
         got = sorted(tuple(r) for r in S.fold_table(df, key="rig", order="t", step=step, schema=schema).collect())
         want = []
         for rig in "ab":
             state = None
-            for r in sorted(x for x in samples() if x[0] == rig):
-                state, out = step(state, dict(zip(("rig", "t", "side", "v", "op"), r)))
+            for r in sorted((x.asDict() for x in df.collect() if x["rig"] == rig), key=lambda x: x["t"]):
+                state, out = step(state, r)
                 want += [(rig, *o) for o in out]
         assert got == sorted(want) and got, name
 
 
+def over(step, rows):
+    state, out = None, []
+    for r in rows:
+        state, more = step(state, r)
+        out += more
+    return state, out
+
+
+def test_mailbox_sends_at_a_fixed_rate():
+    _, out = over(steps.mailbox(10), [{"t": t, "v": v} for t, v in ((0, 1), (4, 2), (12, 3), (45, 4), (45, 5), (51, 6))])
+    assert out == [(10, 2, 0), (20, 3, 0), (30, 3, 1), (40, 3, 2), (50, 5, 0)]
+
+
+def test_only_the_brighter_half_of_a_pair_waits():
+    asked = [(8, 1), (8, 2), (16, 2), (8, 4), (9, 9), (8, 4), (8, 4), (16, 2), (16, 2), (16, 2)]
+    _, out = over(steps.deferred_write(2), [{"t": k, "exposure": e, "gain": g} for k, (e, g) in enumerate(asked)])
+    assert [o[1:] for o in out] == [(8, 1), (8, 2), (16, 2), (8, 2), (8, 2), (8, 4), (8, 4), (8, 2), (8, 2), (16, 2)]
+
+
+def test_a_silent_side_doesnt_fill_the_state():
+    state, out = over(steps.pair_heads(12), [{"side": 0, "t": t} for t in range(0, 10_000, 5)])
+    assert out == [] and len(state[0]) <= 3
+
+
 @pytest.mark.parametrize("name", ["pair", "exposure"])
 def test_stream_equals_table(spark, tmp_path, name):
     step, schema = CASES[name]
@@ -71,16 +95,21 @@ def test_silence(spark, tmp_path):
 
 
 def test_join_of_streams(spark, tmp_path):
-    df = spark.createDataFrame([("a", 0), ("a", 100), ("b", 7)], "rig string, s long").select("rig", F.timestamp_seconds(F.col("s") + 1000).alias("ts"))
-    right = df.withColumn("ts", F.col("ts") + F.expr("interval 2 seconds"))
-    right.coalesce(1).write.parquet(str(tmp_path / "right"))
+    at = lambda rows: spark.createDataFrame(rows, "rig string, s double").select("rig", F.timestamp_micros((F.col("s") * 1e6).cast("long") + 1_000_000_000).alias("ts"))
+    left, right = at([("a", 0.0), ("a", 100.0), ("b", 7.0), ("c", 5.0)]), at([("a", 2.0), ("a", -1.0), ("a", 1.0), ("a", 101.5), ("a", 99.0), ("b", 9.0), ("c", 9.0)])
+    off = lambda rows: sorted((k, (b - a).total_seconds()) for k, a, b in rows)
+    want = [("a", -1.0), ("a", -1.0), ("b", 2.0)]
+    args = {"key": "rig", "time": "ts", "tolerance": "3 seconds", "watermark": "10 seconds"}
+    assert off(map(tuple, S.paired_in_time(left, right, **args).collect())) == want
+    # A later row on either side lets the watermark pass.
+    late = at([("z", 10_000.0)])
+    right.union(late).coalesce(1).write.parquet(str(tmp_path / "right"))
 
     def build(s):
-        other = spark.readStream.schema(df.schema).parquet(str(tmp_path / "right"))
-        return S.paired_in_time(s, other, key="rig", time="ts", tolerance="3 seconds", watermark="10 seconds")
+        return S.paired_in_time(s, spark.readStream.schema(left.schema).parquet(str(tmp_path / "right")), **args)
 
-    got = play(spark, df, build, tmp_path, pieces=1)
-    assert [(k, (b - a).total_seconds()) for k, a, b in got] == [("a", 2.0), ("a", 2.0), ("b", 2.0)]
+    got = play(spark, left.union(late), build, tmp_path, pieces=1)
+    assert off(r for r in got if r[0] != "z") == want
 
 
 def test_stateless(spark):

@@ -1,7 +1,10 @@
 """Choosing views, graphs, cameras and probes."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillframe.functions import camera, pixels, scalars, views
@@ -52,13 +55,34 @@ def test_sharpness(spark):
     assert got[1] == pytest.approx(1.0) and 0 < got[2] < 0.5 and got[3] == got[4] == 0.0
 
 
-def test_depth():
-    view = lambda d, x=0.0: {"depth": np.full((32, 32), d), "confidence": np.ones((32, 32)), "focal": (20, 20), "middle": (16, 16), "pose": np.array([1.0, 0, 0, 0, x, 0, 0])}
-    assert calibrate.depth_overlap(view(2.0), view(2.0)) == 1.0
-    assert calibrate.depth_overlap(view(2.0), view(4.0)) == 0.0
-    assert 0 < calibrate.depth_overlap(view(2.0), view(2.0, 1.0)) < 1
-    blind = view(2.0) | {"confidence": np.full((32, 32), np.nan)}
-    assert calibrate.depth_overlap(blind, view(2.0)) == 0.0
+def test_depth(spark):
+    still = "named_struct('q', named_struct('w', 1D, 'x', 0D, 'y', 0D, 'z', 0D), 't', named_struct('x', {}D, 'y', 0D, 'z', 0D))"
+    views = spark.sql(" union all ".join(f"select '{v}' as view, {still.format(x)} as pose, 20D as fx, 20D as fy, 16D as cx, 16D as cy" for v, x in (("near", 0), ("same", 0), ("far", 0), ("aside", 1), ("blind", 0), ("none", 0))))
+    grid = spark.range(32).selectExpr("id as u").crossJoin(spark.range(32).selectExpr("id as v"))
+    depth = {"near": "2D", "same": "2D", "far": "4D", "aside": "2D", "blind": "2D", "none": "0D"}
+    pixels = reduce(DataFrame.unionByName, [grid.selectExpr(f"'{v}' as view", "u", "v", f"{d} as depth", "cast('nan' as double) as confidence" if v == "blind" else "1D as confidence") for v, d in depth.items()])
+    pairs = spark.createDataFrame([("near", v) for v in depth], "a string, b string")
+    got = {r["b"]: r["overlap"] for r in calibrate.depth_overlap(pairs, views, pixels).collect()}
+    assert got["near"] == got["same"] == 1.0 and got["far"] == got["blind"] == got["none"] == 0.0 and 0 < got["aside"] < 1
+
+
+def plain_sharpness(image, corners):
+    values = []
+    for x, y in np.rint(corners).astype(int):
+        w = image[max(0, y - 4) : y + 5, max(0, x - 4) : x + 5].astype(float)
+        if w.size and w.max() - w.min() >= 8:
+            p = np.pad(w, 1, mode="reflect")
+            gx = [[sum(k * (p[j + d, i + 2] - p[j + d, i]) for d, k in enumerate((1, 2, 1))) for i in range(w.shape[1])] for j in range(w.shape[0])]
+            gy = [[sum(k * (p[j + 2, i + d] - p[j, i + d]) for d, k in enumerate((1, 2, 1))) for i in range(w.shape[1])] for j in range(w.shape[0])]
+            values.append(np.hypot(gx, gy).max() / (4 * (w.max() - w.min())))
+    return values
+
+
+def test_contrast_of_edges_at_borders():
+    rng = np.random.default_rng(4)
+    image = rng.integers(0, 255, (30, 40)).astype(np.uint8)
+    corners = rng.uniform(-6, 45, (60, 2))
+    assert np.allclose(sorted(calibrate.edge_contrast(image, corners)), sorted(plain_sharpness(image, corners)))
 
 
 def test_graphs(spark):
