@@ -139,11 +139,11 @@ def depth_overlap(pairs: DataFrame, views: DataFrame, pixels: DataFrame, *, stri
     sure = F.col("confidence").isNotNull() & ~F.isnan("confidence") & (F.abs("confidence") < float("inf"))
     solid = (F.col("depth") > 0) & (F.col("depth") < float("inf")) & ~F.isnan("depth")
     limits = pixels.where(sure).groupBy("view").agg(F.percentile("confidence", quantile).alias("limit"))
-    good = pixels.where(sure & solid).join(limits, "view").where("confidence >= limit").select("view", "u", "v", "depth").join(views, "view")
+    good = pixels.where(sure & solid).join(limits, "view").where("confidence >= limit").select("view", "u", "v", "depth").join(views.withColumn("__back", G.pose_inverse(F.col("pose"))), "view")
     taken = good.where(F.pmod(F.col("u") - stride // 2, F.lit(stride)) == 0).where(F.pmod(F.col("v") - stride // 2, F.lit(stride)) == 0)
     z = F.col("depth")
     ray = G.vec((F.col("u") - F.col("cx")) / F.col("fx") * z, (F.col("v") - F.col("cy")) / F.col("fy") * z, z)
-    placed = taken.select(F.col("view").alias("__from"), G.transform_point(G.pose_inverse(F.col("pose")), ray).alias("__world"))
+    placed = taken.select(F.col("view").alias("__from"), G.transform_point(F.col("__back"), ray).alias("__world"))
 
     both = pairs.select("a", "b").distinct()
     ways = both.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("__from"), F.col("b").alias("__to")), F.struct(F.col("b").alias("__from"), F.col("a").alias("__to")))).alias("w")).select("a", "b", "w.*")

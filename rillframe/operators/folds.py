@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillframe.operators.blocks import FRAMES, TIME_US, with_neighbours, with_running
+
 Step = Callable[[Any, tuple], tuple[Any, list[tuple]]]
 
 
@@ -66,7 +68,10 @@ def cut(df: DataFrame, *, by: Sequence[str], time: str, gap: int, out: str = "pa
 
 
 def keep_spaced(df: DataFrame, *, by: Sequence[str], start: str, end: str, event_id: str, span: int) -> DataFrame:
-    """Events that start at least ``span`` after the end of the last one kept: entity, ``event_id``, start, end."""
+    """Events that start at least ``span`` after the end of the last one kept: entity, ``event_id``, start, end.
+
+    An event that starts so long after all ends before it is kept whatever came before: entities are cut there.
+    """
 
     def step(last: int | None, row: tuple) -> tuple[int | None, list[tuple]]:
         s, t, number = row[-3:]
@@ -77,27 +82,33 @@ def keep_spaced(df: DataFrame, *, by: Sequence[str], start: str, end: str, event
     rows = df.select(*by, F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__t"), F.col(event_id).alias("__id")).dropna()
     types = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in by), f"{event_id} {types['__id']}", f"{start} bigint", f"{end} bigint"])
-    return ordered_fold(rows.select(*by, "__s", "__t", "__id"), by=by, order=["__s", "__id"], start=lambda: None, step=step, schema=schema)
+    order = ["__s", "__id"]
+    rows = with_running(rows, by=by, order=order, values={"__reach": ("max", F.col("__t"))}, block=TIME_US, before=True)
+    free = F.coalesce(F.col("__s") - F.col("__reach") >= span, F.lit(True)).cast("long")
+    rows = with_running(rows, by=by, order=order, values={"__part": ("sum", free)}, block=TIME_US)
+    schema = schema.replace(f"{event_id} ", f"__part bigint, {event_id} ", 1)
+    return ordered_fold(rows.select(*by, "__part", "__s", "__t", "__id"), by=[*by, "__part"], order=order, start=lambda: None, step=step, schema=schema).drop("__part")
 
 
 def keep_cadence(df: DataFrame, *, by: Sequence[str], frame: str, gap: int) -> DataFrame:
-    """First and last frame and those at least ``gap`` after the last kept one: entity, ``frame``."""
+    """First and last frame and those at least ``gap`` after the last kept one: entity, ``frame``.
 
-    def step(state: tuple[int | None, int | None], row: tuple) -> tuple[tuple, list[tuple]]:
-        kept, _ = state
-        f = row[-1]
-        if kept is None or f - kept >= gap:
-            return (f, f), [(f,)]
-        return (kept, f), []
+    A frame that far from the frame before it is kept in any case: entities are cut there.
+    """
 
-    def finish(state: tuple[int | None, int | None]) -> list[tuple]:
-        kept, last = state
-        return [(last,)] if last is not None and last != kept else []
+    def step(kept: int | None, row: tuple) -> tuple[int, list[tuple]]:
+        f = row[-1]
+        return (f, [(f,)]) if kept is None or f - kept >= gap else (kept, [])
 
     rows = df.select(*by, F.col(frame).cast("long").alias(frame)).dropna().distinct()
     types = dict(rows.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in by), f"{frame} bigint"])
-    return ordered_fold(rows, by=by, order=[frame], start=lambda: (None, None), step=step, schema=schema, finish=finish)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), f"__part bigint, {frame} bigint"])
+    near = with_neighbours(rows, by=by, order=[frame], take=[frame], block=FRAMES, following=None)
+    far = F.coalesce(F.col(frame) - F.col(f"__prev.{frame}") >= gap, F.lit(True)).cast("long")
+    parts = with_running(near.withColumn("__far", far).drop("__prev"), by=by, order=[frame], values={"__part": ("sum", F.col("__far"))}, block=FRAMES)
+    kept = ordered_fold(parts.select(*by, "__part", frame), by=[*by, "__part"], order=[frame], start=lambda: None, step=step, schema=schema).drop("__part")
+    last = rows.groupBy(*by).agg(F.max(frame).alias(frame))
+    return kept.unionByName(last).distinct()
 
 
 def suppress_peaks(df: DataFrame, *, by: Sequence[str], a: str, b: str, rank: Sequence[Column], radius: int, most: int, both: bool = False) -> DataFrame:

@@ -113,7 +113,14 @@ def range_slice(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("host_time_us").alias("first_us"), F.max("host_time_us").alias("last_us"))
 
 
-@query()
+@query("""
+with recursive log as (select distinct recording_id, frame, t_left_us, t_right_us from sync_log),
+l as (select recording_id, t_left_us as t, row_number() over (partition by recording_id order by t_left_us) as k from log where t_left_us is not null),
+r as (select recording_id, t_right_us as t, row_number() over (partition by recording_id order by t_right_us) as k from log where t_right_us is not null),
+m as (select distinct recording_id, 1::bigint as i, 1::bigint as j, null::bigint as a, null::bigint as b from l union all
+ select m.recording_id, i + case when l.t - r.t <= 12500 then 1 else 0 end, j + case when r.t - l.t <= 12500 then 1 else 0 end,
+  case when abs(l.t - r.t) <= 12500 then l.t end, case when abs(l.t - r.t) <= 12500 then r.t end from m join l on l.recording_id = m.recording_id and l.k = i join r on r.recording_id = m.recording_id and r.k = j)
+select recording_id, a as left_time, b as right_time from m where a is not null""")
 def greedy_match(spark: SparkSession, folder: str) -> DataFrame:
     """Left and right frame times paired one to one within half a period."""
     log = table(spark, folder, "sync_log").select("recording_id", "frame", "t_left_us", "t_right_us").dropDuplicates(["recording_id", "frame"])
@@ -195,7 +202,13 @@ def vote_density_cells(spark: SparkSession, folder: str) -> DataFrame:
     return vote_density(li, by=["l_returnflag"], a="a", b="b", radius=3, least=8)
 
 
-@query()
+@query(f"""
+with recursive c as ({VOTES_SQL}),
+r as (select distinct l_returnflag, 0 as place, null::bigint as a, null::bigint as b, []::struct(a bigint, b bigint)[] as kept from c union all
+ select l_returnflag, place + 1, a, b, list_append(kept, {{'a': a, 'b': b}}) from (
+  select r.l_returnflag, r.place, r.kept, c.a, c.b, row_number() over (partition by r.l_returnflag order by c.n_votes desc, c.a, c.b) as k from r join c on c.l_returnflag = r.l_returnflag and r.place < 20
+  where len(list_filter(r.kept, lambda x: abs(x.a - c.a) <= 10 or abs(x.b - c.b) <= 10)) = 0) where k = 1)
+select l_returnflag, place, a, b from r where place > 0""")
 def nms_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The twenty strongest cells, none near another."""
     from rillframe.operators.folds import suppress_peaks

@@ -10,7 +10,7 @@ from rillframe.functions import scalars
 from rillframe.operators import asof as A
 from rillframe.operators import kinematics as K
 from rillframe.operators import stats
-from rillframe.plans.clock import HOST_SQL, frames, host_frames
+from rillframe.plans.clock import FRAMES_SQL, HOST_SQL, frames, host_frames
 from rillframe.plans.joins import IMU_SQL, TRIGGERS_SQL, imu, triggers
 from rillframe.plans.registry import Registry
 from rillframe.sources.tables import table
@@ -65,7 +65,15 @@ def quat_fold(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("recording_id", "n", *(F.round(c, 6).alias(c) for c in "wxyz"))
 
 
-@query()
+@query("""
+with recursive s as (select label, vec_id, row_number() over (partition by label order by vec_id) as n, list_transform(embedding[1:7], lambda x: x::double) as p from embeddings),
+e as (select *, sqrt(p[1] * p[1] + p[2] * p[2] + p[3] * p[3] + p[4] * p[4]) as m from s),
+r as (select distinct label, null::bigint as vec_id, 0::bigint as n, 1.0::double as w, 0.0::double as x, 0.0::double as y, 0.0::double as z, [0.0, 0.0, 0.0]::double[] as t from e union all
+ select label, vec_id, n, a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w,
+  [t[1] + a * u + c * k - d * v + p[5], t[2] + a * v + d * u - b * k + p[6], t[3] + a * k + b * v - c * u + p[7]] from (
+  select *, 2 * (c * t[3] - d * t[2]) as u, 2 * (d * t[1] - b * t[3]) as v, 2 * (b * t[2] - c * t[1]) as k from (
+   select e.label, e.vec_id, e.n, e.p, r.w, r.x, r.y, r.z, r.t, p[1] / m as a, p[2] / m as b, p[3] / m as c, p[4] / m as d from r join e on e.label = r.label and e.n = r.n + 1)))
+select label, vec_id, round(w, 5) as qw, round(x, 5) as qx, round(y, 5) as qy, round(z, 5) as qz, round(t[1], 5) as tx, round(t[2], 5) as ty, round(t[3], 5) as tz from r where n > 0""")
 def pose_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Poses reached by chaining the vectors' relative poses, label by label."""
     e = F.col("embedding").cast("array<double>")
@@ -74,15 +82,27 @@ def pose_chain(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("label", "vec_id", *(F.round(F.col("pose.q")[c], 5).alias(f"q{c}") for c in "wxyz"), *(F.round(F.col("pose.t")[c], 5).alias(f"t{c}") for c in "xyz"))
 
 
-@query()
+@query(f"""
+with recursive v as (select recording_id, t_left_us as t, skew_us::double as v from ({FRAMES_SQL}) where skew_us is not null),
+f as (select *, row_number() over w as n, 1 - exp(-(t - lag(t) over w) / 1e6 / 0.2) as k, row_number() over (partition by recording_id order by t desc, v desc) as m, 1 - exp(-(lead(t) over w - t) / 1e6 / 0.2) as km from v window w as (partition by recording_id order by t, v)),
+a as (select recording_id, n, v as x from f where n = 1 union all select f.recording_id, f.n, x + k * (v - x) from a join f on f.recording_id = a.recording_id and f.n = a.n + 1),
+b as (select recording_id, m, v as x from f where m = 1 union all select f.recording_id, f.m, x + km * (v - x) from b join f on f.recording_id = b.recording_id and f.m = b.m + 1)
+select recording_id, t, round((a.x + b.x) / 2, 2) as smooth from f join a using (recording_id, n) join b using (recording_id, m)""")
 def ema_bidirectional(spark: SparkSession, folder: str) -> DataFrame:
     """Skew smoothed forwards and backwards."""
     rows = frames(spark, folder).where("skew_us is not null").select("recording_id", F.col("t_left_us").alias("t"), F.col("skew_us").cast("double").alias("skew"))
     out = K.smooth_both_ways(rows, by=["recording_id"], time="t", value="skew", tau=0.2)
-    return out.select("recording_id", "t", F.round("smooth", 4).alias("smooth"))
+    return out.select("recording_id", "t", F.round("smooth", 2).alias("smooth"))
 
 
-@query()
+@query("""
+with recursive e as (select user_id, value / 40 as level, row_number() over (partition by user_id order by event_id) as n from events),
+r as (select distinct user_id, 0::bigint as n, 8.3333::double as exposure, 1.0::double as gain from e union all
+ select user_id, n, case when still then old else chosen end, case when still then old_gain else least(16.0, greatest(1.0, light / chosen)) end from (
+  select *, case when light > 8.3333 * 16 or (old > 8.3333 and light > 8.3333 * 16 * 0.9) then 16.6667 else 8.3333 end as chosen from (
+   select e.user_id, e.n, exposure as old, gain as old_gain, level is null or abs(ln(0.35 / greatest(level, 1e-4))) <= 0.08 as still,
+    exposure * gain * exp(least(ln(1.5), greatest(-ln(1.5), 0.25 * ln(0.35 / greatest(coalesce(level, 1), 1e-4))))) as light from r join e on e.user_id = r.user_id and e.n = r.n + 1)))
+select user_id, n - 1 as step, round(exposure, 5) as exposure, round(gain, 5) as gain from r where n > 0""")
 def exposure_control(spark: SparkSession, folder: str) -> DataFrame:
     """Exposure and gain that follow each user's events as if they were metered levels."""
     ev = table(spark, folder, "events").select("user_id", "event_id", (F.col("value") / 40).alias("level"))
