@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rillframe.functions.geometry import vec
+from rillframe.functions.geometry import bind, vec
 
 NEWTON_STEPS = 10
 
@@ -67,3 +67,42 @@ def snap_roi(offset: Column, length: Column, sensor: Column, grid: int = 16) ->
     size = F.least(F.greatest(F.rint(length / grid) * grid, F.lit(grid)), F.floor(sensor / grid) * grid)
     start = F.least(F.greatest(F.rint(offset / grid) * grid, F.lit(0)), sensor - size)
     return F.struct((F.floor(start / grid) * grid).cast("int").alias("offset"), size.cast("int").alias("length"))
+
+
+def _unit(v: Column, least: float = 0.0) -> Column:
+    """``v`` at length 1; null if it isn't longer than ``least``."""
+    return bind(v, lambda b: bind(F.sqrt(b["x"] * b["x"] + b["y"] * b["y"] + b["z"] * b["z"]), lambda n: F.when(n > least, vec(b["x"] / n, b["y"] / n, b["z"] / n))))
+
+
+def _across(v: Column, z: Column) -> Column:
+    """What of ``v`` is at right angles to the unit vector ``z``."""
+    return bind(v, lambda b: bind(b["x"] * z["x"] + b["y"] * z["y"] + b["z"] * z["z"], lambda d: vec(*(b[c] - d * z[c] for c in "xyz"))))
+
+
+def aligned_axes(gaze: Column, baseline: Column) -> Column:
+    """Axes ``x``, ``y``, ``z`` of a camera that looks along ``gaze`` and whose rows run along the baseline.
+
+    Where both are parallel, rows run along the depth axis instead, as far as it is across the gaze.
+    """
+
+    def axes(z: Column, x: Column) -> Column:
+        y = vec(z["y"] * x["z"] - z["z"] * x["y"], z["z"] * x["x"] - z["x"] * x["z"], z["x"] * x["y"] - z["y"] * x["x"])
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+    depth = vec(F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    return bind(_unit(gaze), lambda z: bind(F.coalesce(_unit(_across(baseline, z), 1e-6), _unit(_across(depth, z))), lambda x: axes(z, x)))
+
+
+def crop_to_fisheye(u: Column, v: Column, focal: Column, size: Column, axes: Column, fx: Column, fy: Column, cx: Column, cy: Column, k: Sequence[Column]) -> Column:
+    """Pixel of the fisheye picture that a square cut-out of ``size`` pixels with these axes shows at u, v."""
+    middle = (size - 1) / 2.0
+    a, b = (u - middle) / focal, (v - middle) / focal
+    ray = bind(axes, lambda m: vec(*(m["x"][c] * a + m["y"][c] * b + m["z"][c] for c in "xyz")))
+    return bind(ray, lambda r: fisheye_project(r, fx, fy, cx, cy, k))
+
+
+def box_focal(corners: Sequence[Column], gaze: Column, size: Column, scale: float = 2.2) -> Column:
+    """Focal length with which a cut-out's half takes in the corners' widest ray, its angle to the gaze times half of ``scale``."""
+    angle = lambda r, g: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r["x"] * g["x"] + r["y"] * g["y"] + r["z"] * g["z"])))
+    widest = bind(gaze, lambda g: F.array_max(F.transform(F.array(*corners), lambda r: angle(r, g))))
+    return size / 2.0 / F.tan(widest * scale / 2.0)

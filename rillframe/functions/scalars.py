@@ -90,3 +90,9 @@ def selector(choice: Column, index: Column, name: Column) -> Column:
     """Rank of an entry for a choice: 0 by number, 1 by the whole name, 2 by a part of it; null if none."""
     want, have = F.lower(F.trim(choice)), F.lower(name)
     return F.when(want.rlike(r"^\d+$"), F.when(want.try_cast("int") == index, 0)).when(have == want, 1).when(F.contains(have, want), 2)
+
+
+def host_time(perf_us: Column, pts_us: Column, clock: Column) -> Column:
+    """A word's time on the host clock: its own, or where it has none its stream time if that counts from the same clock; else -1."""
+    own = F.coalesce(perf_us, F.lit(-1).cast("long"))
+    return F.when((own < 0) & F.coalesce(clock, F.lit(False)), F.coalesce(pts_us, F.lit(-1).cast("long"))).otherwise(own)

@@ -74,3 +74,14 @@ def snapped_pairs(pairs: DataFrame, frames: DataFrame, *, by: Sequence[str], fra
 def is_subset(a: Column, b: Column) -> Column:
     """Whether all elements of an array are in another."""
     return F.size(F.array_except(a, b)) == 0
+
+
+def loop_edges(df: DataFrame, *, by: Sequence[str], segment: str, position: str) -> DataFrame:
+    """One edge for each window of two segments, 0 and 1, between their middle frames: window, ``a``, ``b``.
+
+    The middle of an even number is the later one. Windows without one of the segments have no edge.
+    """
+    rows = df.select(*by, F.col(segment).alias("__s"), F.col(position).alias("__p")).dropna().where("__s in (0, 1)")
+    held = rows.groupBy(*by).agg(*(F.sort_array(F.collect_list(F.when(F.col("__s") == k, F.col("__p")))).alias(f"__{k}") for k in (0, 1)))
+    middle = lambda c: F.get(c, F.call_function("div", F.size(c), F.lit(2)).cast("int"))
+    return held.select(*by, middle(F.col("__0")).alias("a"), middle(F.col("__1")).alias("b")).dropna(subset=["a", "b"])

@@ -184,3 +184,40 @@ def depth_overlap(spark: SparkSession, folder: str) -> DataFrame:
     pixels = grid.select("view", "u", "v", (2.0 + F.col("view") % 3 * F.lit(0.1) + F.col("u") * 0.001).alias("depth"), (1.0 + (F.col("u") * 7 + F.col("v") * 3 + F.col("view")) % 10).alias("confidence"))
     pairs = labels.select(F.col("view").alias("a")).join(labels.select(F.col("view").alias("b")), F.col("b") == F.col("a") + 1)
     return calibrate.depth_overlap(pairs, views, pixels, tolerance=0.05)
+
+
+@query("""
+with p as (select vec_id, list_transform(embedding[1:6], lambda x: x::double) as e, vec_id % 5 = 0 as same from embeddings),
+g as (select vec_id, [e[1], e[2], e[3]] as g, case when same then [2 * e[1], 2 * e[2], 2 * e[3]] else [e[4], e[5], e[6]] end as b from p),
+z as (select vec_id, list_transform(g, lambda x: x / sqrt(list_sum(list_transform(g, lambda y: y * y)))) as z, b from g),
+a as (select vec_id, z, list_transform([1, 2, 3], lambda i: b[i] - list_dot_product(b, z) * z[i]) as x, list_transform([1, 2, 3], lambda i: case when i = 3 then 1.0 else 0.0 end - z[3] * z[i]) as o from z),
+c as (select vec_id, z, case when sqrt(list_dot_product(x, x)) > 1e-6 then x else o end as x from a),
+d as (select vec_id, z, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) as x from c)
+select vec_id, round(x[1], 6) as xx, round(x[2], 6) as xy, round(x[3], 6) as xz, round(z[2] * x[3] - z[3] * x[2], 6) as yx, round(z[3] * x[1] - z[1] * x[3], 6) as yy, round(z[1] * x[2] - z[2] * x[1], 6) as yz from d""")
+def aligned_axes(spark: SparkSession, folder: str) -> DataFrame:
+    """Axes of cameras whose rows run along a baseline; every fifth looks along it."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    same = F.col("vec_id") % 5 == 0
+    base = G.vec(*(F.when(same, e(k) * 2).otherwise(e(k + 3)) for k in range(3)))
+    rows = table(spark, folder, "embeddings").select("vec_id", camera.aligned_axes(G.vec(e(0), e(1), e(2)), base).alias("r"))
+    return rows.select("vec_id", *(F.round(F.col("r")[a][c], 6).alias(f"{a}{c}") for a in "xy" for c in "xyz"))
+
+
+@query("""
+with r as (select l_orderkey, l_linenumber % 2 as s, l_linenumber as p from lineitem),
+g as (select l_orderkey, s, list_sort(list(p)) as ps from r group by 1, 2)
+select x.l_orderkey, x.ps[len(x.ps) // 2 + 1] as a, y.ps[len(y.ps) // 2 + 1] as b from g x join g y on x.l_orderkey = y.l_orderkey and x.s = 0 and y.s = 1""")
+def loop_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges between the middles of the even and the odd lines of each order."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 2).alias("s"), F.col("l_linenumber").alias("p"))
+    return graphs.loop_edges(rows, by=["l_orderkey"], segment="s", position="p")
+
+
+@query("select distinct trigger_id, case when coalesce(case when trigger_id % 4 > 0 then start_us end, -1) < 0 and coalesce(has_imu_log, false) then end_us else coalesce(case when trigger_id % 4 > 0 then start_us end, -1) end as host_us from triggers join recordings using (recording_id)")
+def clock_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Times on the host clock, of which every fourth is missing."""
+    from rillframe.plans.joins import triggers
+
+    rows = triggers(spark, folder).join(table(spark, folder, "recordings").select("recording_id", "has_imu_log"), "recording_id")
+    own = F.when(F.col("trigger_id") % 4 > 0, F.col("start_us"))
+    return rows.select("trigger_id", scalars.host_time(own, F.col("end_us"), F.col("has_imu_log")).alias("host_us"))

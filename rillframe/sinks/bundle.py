@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 BUNDLE_VERSION = 2
 
@@ -80,6 +81,15 @@ def rewrite_csv(spark: SparkSession, source: str, target: str, keep: Column, rep
     publish(out.select(*df.columns), target, overwrite=overwrite, fmt="csv", options={"header": "true", "emptyValue": "", "quoteAll": "false"})
 
 
+def append_rows(stream: DataFrame, path: str, checkpoint: str, *, fmt: str = "csv", seconds: float | None = None) -> StreamingQuery:
+    """Appends a stream's rows to files under ``path`` as they come, each once, also over crashes: ``checkpoint`` remembers what is written.
+
+    Files become visible whole. Without ``seconds`` between writes all that is there is written and the query ends.
+    """
+    writer = stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
+
+
 def write_json_lines(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
     """One JSON object a line."""
     publish(df.select(F.to_json(F.struct(*df.columns)).alias("value")), path, overwrite=overwrite, fmt="text")

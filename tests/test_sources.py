@@ -165,3 +165,17 @@ def test_slices_and_manifests(spark, tmp_path, rec):
     new = spark.createDataFrame([("s", "i2", None), ("t", "i3", None)], "serial string, intrinsics string, color string")
     assert {tuple(r) for r in bundle.merge_sections(old, new, key="serial", sections=["intrinsics", "color"]).collect()} == {("s", "i2", "c1"), ("t", "i3", None)}
     assert bundle.run_summary({"a": 1.0, "b": 3.0}, spark).where("stage = 'b'").first()["share"] == 0.75
+
+
+def test_append_and_command_line(spark, tmp_path, capsys):
+    src, out, chk = (str(tmp_path / n) for n in ("in", "out", "chk"))
+    df = spark.range(5).selectExpr("id", "cast(id as string) as s")
+    for _ in range(2):
+        df.coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):  # a second start writes nothing twice
+            bundle.append_rows(spark.readStream.schema(df.schema).parquet(src), out, chk).awaitTermination(120)
+    assert spark.read.schema("id long, s string").csv(out).count() == 10
+    from rillframe.__main__ import main
+
+    main(["--list"])
+    assert "p5_found" in capsys.readouterr().out.split()

@@ -161,3 +161,23 @@ def test_probes(spark):
     assert [(r["start_pts_us"], r["duration_s"]) for r in probes.audio_probe(rows).collect()] == [(100_500_000, 3.0), (0, 7.25), (2_000_000, 1.0)]
     log = spark.createDataFrame([(1, k, t) for k, t in enumerate(["[9] no", "audio devices:", "x [0] Mic", "noise", "[12] Pods Pro"])], "f int, n int, t string")
     assert [(r["index"], r["name"]) for r in probes.listed_devices(log, by=["f"], order="n", line="t", section="audio devices").orderBy("index").collect()] == [(0, "Mic"), (12, "Pods Pro")]
+
+
+def test_cut_outs_of_a_fisheye(spark):
+    """A cut-out's middle shows what lies along its gaze, and its corners come back through the camera."""
+    lens = [F.lit(v) for v in (300.0, 310.0, 320.0, 240.0)], [F.lit(v) for v in (0.05, -0.01, 0.002, 0.0)]
+    ray = camera.fisheye_unproject(F.lit(400.0), F.lit(200.0), *lens[0], lens[1])
+    axes = camera.aligned_axes(ray, G.vec(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    at = camera.crop_to_fisheye(F.lit(63.5), F.lit(63.5), F.lit(200.0), F.lit(128), axes, *lens[0], lens[1])
+    corners = [camera.fisheye_unproject(F.lit(x), F.lit(y), *lens[0], lens[1]) for x, y in ((390.0, 190.0), (410.0, 190.0), (390.0, 210.0), (410.0, 210.0))]
+    r = spark.range(1).select(at.alias("at"), axes.alias("axes"), camera.box_focal(corners, ray, F.lit(128)).alias("f"), F.array(*corners).alias("c"), ray.alias("g")).first()
+    assert (r["at"]["u"], r["at"]["v"]) == (pytest.approx(400.0), pytest.approx(200.0))
+    m = np.array([[r["axes"][a][c] for c in "xyz"] for a in "xyz"])
+    assert np.allclose(m @ m.T, np.eye(3)) and np.linalg.det(m) == pytest.approx(1.0)
+    widest = max(np.arccos(sum(c[k] * r["g"][k] for k in "xyz")) for c in r["c"])
+    assert r["f"] == pytest.approx(64 / np.tan(widest * 1.1))
+
+
+def test_host_time(spark):
+    df = spark.createDataFrame([(5, 7, True), (-1, 7, True), (None, 7, True), (None, 7, False), (None, None, True), (None, 7, None)], "p long, s long, c boolean")
+    assert [r[0] for r in df.select(scalars.host_time(F.col("p"), F.col("s"), F.col("c"))).collect()] == [5, 7, 7, -1, -1, -1]
