@@ -77,25 +77,24 @@ def paired_windows(df: DataFrame, *, by: Sequence[str], role: str, start: str, e
     return out.select(*by, F.col("__w.s").alias("start_us"), F.col("__w.e").alias("end_us"))
 
 
-def phrase_matches(words: DataFrame, *, by: Sequence[str], order: Sequence[str], token: str, start: str, end: str, probability: str, phrase: Sequence[str], min_probability: float, max_gap: int) -> DataFrame:
+def phrase_matches(words: DataFrame, *, by: Sequence[str], order: Sequence[str], token: str, start: str, end: str, probability: str, phrase: Sequence[str], min_probability: float, max_gap: int, block: float = TIME_US) -> DataFrame:
     """Places where consecutive words are the phrase: entity, ``start_us``, ``end_us``, ``min_probability``.
 
     Words may lie at most ``max_gap`` apart and each needs the least probability. A phrase none of whose
-    beginnings is also an ending can't overlap itself; others raise ValueError.
+    beginnings is also an ending can't overlap itself; others raise ValueError. Words are numbered in blocks, and
+    only those of the phrase meet, by their numbers.
     """
     n = len(phrase)
     if n == 0 or any(list(phrase[:k]) == list(phrase[n - k :]) for k in range(1, n)):
         raise ValueError("the phrase is empty or may overlap itself")
-    w = Window.partitionBy(*by).orderBy(*order)
-    at = lambda c, k: F.lead(c, k).over(w) if k else F.col(c)
-    ok = F.lit(True)
-    for k, t in enumerate(phrase):
-        ok = ok & (at(token, k) == t)
-        if k:
-            ok = ok & (at(start, k) - at(end, k - 1) <= max_gap)
-    low = F.least(*(at(probability, k) for k in range(n))) if n > 1 else F.col(probability)
-    rows = words.select(*by, ok.alias("__ok"), F.col(start).alias("start_us"), at(end, n - 1).alias("end_us"), low.alias("min_probability"))
-    return rows.where(F.col("__ok") & (F.col("min_probability") >= min_probability)).drop("__ok")
+    rows = with_number(words.select(*dict.fromkeys([*by, *order, token, start, end, probability])), by=by, order=order, block=block, out="__i")
+    sure = rows.where(F.col(probability) >= min_probability)
+    said = lambda k: sure.where(F.col(token) == phrase[k]).select(*by, (F.col("__i") - k).alias("__i"), F.col(start).alias(f"__s{k}"), F.col(end).alias(f"__e{k}"), F.col(probability).alias(f"__p{k}"))
+    found = said(0)
+    for k in range(1, n):
+        found = found.join(said(k), [*by, "__i"]).where(F.col(f"__s{k}") - F.col(f"__e{k - 1}") <= max_gap)
+    low = F.least(*(f"__p{k}" for k in range(n))) if n > 1 else F.col("__p0")
+    return found.select(*by, F.col("__s0").alias("start_us"), F.col(f"__e{n - 1}").alias("end_us"), low.alias("min_probability"))
 
 
 def stride(df: DataFrame, *, by: Sequence[str], order: Sequence[str], every: int, block: float = FRAMES) -> DataFrame:

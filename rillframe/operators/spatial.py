@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +37,23 @@ def radius_pairs(df: DataFrame, *, by: Sequence[str], point_id: str, coords: Seq
     return near.select(*by, F.col("__id").alias("a"), F.col("__jd").alias("b"), "distance", *(F.col(f"__k{i}").alias(f"{c}_a") for i, c in enumerate(carry)), *(F.col(f"__m{i}").alias(f"{c}_b") for i, c in enumerate(carry)))
 
 
+#: So many queries are sent to all points at once.
+HELD_QUERIES = 20_000
+
+
 def block_pairs(df: DataFrame, queries: DataFrame, *, point_id: str, query_id: str, vector: str, radius: float) -> DataFrame:
     """Points at most ``radius`` from each of a stated set of queries, in any number of dimensions: ``query``, ``point``, ``distance``.
 
-    Every query meets every point, in as many blocks as the points lie in; the queries are the smaller,
-    stated side and are sent to all of them. Null vectors match nothing.
+    Every query meets every point. The queries are the stated side: HELD_QUERIES of them at a time are sent to all
+    points, which are read once for each such block. Null vectors match nothing.
     """
     q = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("__q")).dropna()
     p = df.select(F.col(point_id).alias("point"), F.col(vector).alias("__p")).dropna()
     square = F.aggregate(F.zip_with("__q", "__p", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    rows = p.crossJoin(F.broadcast(q)).where(F.col("query") != F.col("point")).withColumn("distance", F.sqrt(square))
+    blocks = max(1, -(-q.count() // HELD_QUERIES))
+    part = lambda k: q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
+    rows = reduce(DataFrame.unionByName, [p.crossJoin(F.broadcast(part(k))) for k in range(blocks)])
+    rows = rows.where(F.col("query") != F.col("point")).withColumn("distance", F.sqrt(square))
     return rows.where(F.col("distance") <= radius).select("query", "point", "distance")
 
 
