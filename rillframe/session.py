@@ -68,5 +68,5 @@ def spread(df: DataFrame) -> DataFrame:
     Judged by the optimizer's estimate of its size, so nothing is run. A large table is left where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size >= cores * SMALL_PIECE else df.repartition(cores)
