@@ -1,13 +1,14 @@
 """Operators whose next step depends on what was kept before.
 
-Rows of an entity are taken in order by one pass over sorted partitions: whatever an entity's size, a
-task holds one batch of rows and the entity's small state. Where the outcome before a point can't
+Rows of an entity are taken in order by one pass over sorted partitions: whatever an entity's size, and
+however much a row puts out, a task holds one batch of rows, a piece of what comes out and the entity's small state. Where the outcome before a point can't
 matter after it, ``cut`` splits an entity there, so that its parts run side by side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -16,33 +17,46 @@ from pyspark.sql import functions as F
 
 from rillframe.operators.blocks import FRAMES, TIME_US, with_neighbours, with_running
 
-Step = Callable[[Any, tuple], tuple[Any, list[tuple]]]
+Step = Callable[[Any, tuple], tuple[Any, Iterable[tuple]]]
+
+#: Rows that are put out at a time.
+PIECE = 10_000
+
+
+def in_pieces(rows: Iterable[tuple], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Tables of at most ``PIECE`` of the rows, which are taken as they are needed."""
+    rows = iter(rows)
+    while piece := list(islice(rows, PIECE)):
+        yield pd.DataFrame(piece, columns=list(columns))
 
 
 def ordered_fold(df: DataFrame, *, by: Sequence[str], order: Sequence[str], start: Callable[[], Any], step: Step, schema: str, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
     """``step(state, row)`` over the rows of each entity in order gives the new state and rows to put out.
 
     Rows put out begin with the entity's key. ``finish`` may put out more when the entity ends. Rows
-    with a null key form an entity like others; empty tables give no rows.
+    with a null key form an entity like others; empty tables give no rows. A step that puts out many rows
+    may give them as an iterator.
     """
     names = df.columns
     keys = [names.index(c) for c in by]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, key, width = None, None, [f.split()[0] for f in schema.split(",")]
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        state, key = None, None
         for batch in batches:
-            out: list[tuple] = []
             for row in batch.itertuples(index=False, name=None):
                 now = tuple(row[k] for k in keys)
                 if key is None or now != key:
                     if key is not None and finish:
-                        out += [(*key, *r) for r in finish(state)]
+                        yield from ((*key, *r) for r in finish(state))
                     state, key = start(), now
                 state, rows = step(state, row)
-                out += [(*key, *r) for r in rows]
-            yield pd.DataFrame(out, columns=width)
+                for r in rows:
+                    yield (*key, *r)
         if key is not None and finish:
-            yield pd.DataFrame([(*key, *r) for r in finish(state)], columns=width)
+            yield from ((*key, *r) for r in finish(state))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_pieces(put(batches), [f.split()[0] for f in schema.split(",")])
 
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 

@@ -69,7 +69,8 @@ m as (select k.user_id, tick, e.t, e.v from k asof join e on k.user_id = e.user_
 select user_id, tick, v, row_number() over (partition by user_id, t order by tick) - 1 as sent from m""")
 def stream_mailbox(spark: SparkSession, folder: str) -> DataFrame:
     """The latest value every forty ticks."""
-    return _fold(spark, folder, steps.mailbox(40), "tick long, v double, sent int")
+    out = S.mailbox_table(_events(spark, folder), key="user_id", order="t", value="v", period=40)
+    return out.withColumn("sent", F.col("sent").cast("int"))
 
 
 @query(f"""{_NUMBERED},

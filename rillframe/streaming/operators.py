@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from rillframe.operators.folds import ordered_fold
+from rillframe.operators.blocks import FRAMES
+from rillframe.operators.folds import in_pieces, ordered_fold
 from rillframe.streaming.steps import Step
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,12 +41,16 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state = json.loads(self.state.get()[0]) if self.state.exists() else None
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out: list[tuple] = []
-        for row in batch.to_dict("records"):
-            state, found = self.step(state, {k: v.item() if hasattr(v, "item") else v for k, v in row.items()})
-            out += [(key[0], *r) for r in found]
+
+        def put() -> Iterator[tuple]:
+            nonlocal state
+            for row in batch.to_dict("records"):
+                state, found = self.step(state, {k: v.item() if hasattr(v, "item") else v for k, v in row.items()})
+                for r in found:
+                    yield (key[0], *r)
+
+        yield from map(_objects, in_pieces(put(), [self.key, *self.columns]))
         self.state.update((json.dumps(state),))
-        yield _objects(pd.DataFrame(out, columns=[self.key, *self.columns]))
 
     def close(self) -> None:
         pass
@@ -100,6 +105,29 @@ def fold_table(df: DataFrame, *, key: str, order: str, step: Step, schema: str)
     return ordered_fold(df, by=[key], order=[order], start=lambda: None, step=one, schema=f"{key} {dict(df.dtypes)[key]}, {schema}")
 
 
+def mailbox_table(df: DataFrame, *, key: str, order: str, value: str, period: int, block: int = FRAMES) -> DataFrame:
+    """``steps.mailbox`` over a table, as expressions: key, ``tick``, ``value``, ``sent``. What a row sends is known from the row after it.
+
+    Rows lie by key and ``block`` ticks, and a gap is put out in pieces of as many: neither a hot key nor a long gap
+    is held in one piece. Rows without key or time are left out.
+    """
+    rows = df.select(F.col(key), F.col(order).cast("long").alias("__t"), F.col(value).alias(value)).dropna(subset=[key, "__t"])
+    rows = rows.withColumn("__b", F.floor(F.col("__t") / F.lit(period * block)))
+    over, inside = Window.partitionBy(key).orderBy("__b"), Window.partitionBy(key, "__b").orderBy("__t")
+    lows = rows.groupBy(key, "__b").agg(F.min("__t").alias("__lo"))
+    lows = lows.select(key, "__b", F.lead("__lo").over(over).alias("__cn"), F.first("__lo").over(over).alias("__first"))
+    rows = rows.join(lows, [key, "__b"]).withColumn("__next", F.coalesce(F.lead("__t").over(inside), F.col("__cn")))
+    ticks = lambda t: F.expr(f"({t} - __first) div {period}")
+    rows = rows.select(key, value, "__first", ticks("__t").alias("__k"), (ticks("__next") - ticks("__t")).alias("__n")).where("__n > 0")
+    rows = rows.select("*", F.explode_outer(F.expr(f"sequence(0, (__n - 1) div {block})")).alias("__p"))
+    begin = F.col("__p") * block
+    rows = rows.select(
+        key, value, begin.alias("__sent"), (F.col("__first") + (F.col("__k") + 1 + begin) * period).alias("__tick"),
+        F.posexplode_outer(F.sequence(F.lit(1), F.least(F.lit(block).cast("long"), F.col("__n") - begin).cast("int"))).alias("__i", "__"),
+    )
+    return rows.select(key, (F.col("__tick") + F.col("__i").cast("long") * period).alias("tick"), value, (F.col("__sent") + F.col("__i")).alias("sent"))
+
+
 def watch_silence(df: DataFrame, *, key: str, time: str, limit_ms: int) -> DataFrame:
     """``key`` and ``silent_since_ms`` once a key has been silent for longer than the limit; ``df`` needs a watermark on ``time``."""
     out = StructType.fromDDL(f"{key} {dict(df.dtypes)[key]}, silent_since_ms bigint")

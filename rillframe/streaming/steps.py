@@ -6,12 +6,12 @@ run in a stream and in an ordered fold over a table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
 from rillframe.kernels.exposure import Metering
 
-Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
+Step = Callable[[Any, dict], tuple[Any, Iterable[tuple]]]
 
 
 def pair_heads(window: int) -> Step:
@@ -68,16 +68,17 @@ def bounded_queue(depth: int, drop: str) -> Step:
 def mailbox(period: int) -> Step:
     """The latest value at a fixed rate, from the first row on. Out: tick, value, how often it was sent before.
 
-    A tick without a new value repeats the last one; of several values between two ticks the last is sent.
+    A tick without a new value repeats the last one; of several values between two ticks the last is sent. A gap
+    may be of any number of ticks: they come out one by one.
     """
 
-    def step(state: list | None, row: dict) -> tuple[list, list[tuple]]:
+    def step(state: list | None, row: dict) -> tuple[list, Iterable[tuple]]:
         t, value = row["t"], row["v"]
         if state is None:
             return [t, value, 0], []
         tick, latest, sent = state
         due = max(0, (t - tick) // period)
-        return [tick + due * period, value, 0], [(tick + k * period, latest, sent + k - 1) for k in range(1, due + 1)]
+        return [tick + due * period, value, 0], ((tick + k * period, latest, sent + k - 1) for k in range(1, due + 1))
 
     return step
 

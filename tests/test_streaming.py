@@ -1,10 +1,12 @@
 """Streams run to their end, against the same steps over a table."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from rillframe.plans.streams import stream_mailbox
 from rillframe.streaming import operators as S
 from rillframe.streaming import steps
 
@@ -68,6 +70,52 @@ def test_mailbox_sends_at_a_fixed_rate():
     assert out == [(10, 2, 0), (20, 3, 0), (30, 3, 1), (40, 3, 2), (50, 5, 0)]
 
 
+def test_a_long_gap_is_not_held_in_memory():
+    step = steps.mailbox(1)
+    tracemalloc.start()
+    state, out = step(step(None, {"t": 0, "v": 1})[0], {"t": 500_000, "v": 2})
+    n, last = 0, None
+    for n, last in enumerate(out, 1):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert state == [500_000, 2, 0] and n == 500_000 and last == (500_000, 1, 499_999) and peak < 5e6
+
+
+def test_a_fold_holds_a_piece_of_what_a_row_puts_out(spark):
+    def step(state, row):
+        def out():
+            tracemalloc.start()
+            yield from ((k,) for k in range(300_000))
+            yield (tracemalloc.get_traced_memory()[1],)
+            tracemalloc.stop()
+
+        return None, out()
+
+    df = spark.createDataFrame([("a", 1)], "rig string, t long")
+    got = [r["n"] for r in S.fold_table(df, key="rig", order="t", step=step, schema="n long").collect()]
+    assert got[:-1] == list(range(300_000)) and got[-1] < 8e6
+
+
+def test_mailbox_over_a_table_equals_its_steps(spark):
+    rng = random.Random(5)
+    times = {"hot": sorted(rng.sample(range(-50, 4000), 300)), "gaps": [3, 9, 1000, 1003, 70_000, 70_001], "one": [5], "far": [2**53 + 1, 2**53 + 83]}
+    rows = [(k, t, None if t % 7 == 0 else float(t % 5)) for k, ts in times.items() for t in ts]
+    want = [(k, *o) for k in times for o in over(steps.mailbox(10), [{"t": t, "v": v} for key, t, v in rows if key == k])[1]]
+    df = spark.createDataFrame([*rows, ("hot", None, 1.0), (None, 4, 1.0), (None, 400, 1.0)], "rig string, t long, v double")
+    for block in (1, 7, 16_384):
+        out = S.mailbox_table(df, key="rig", order="t", value="v", period=10, block=block)
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert S.mailbox_table(df.limit(0), key="rig", order="t", value="v", period=10).count() == 0
+
+
+def test_the_query_of_the_mailbox_makes_its_ticks_without_python(spark, tmp_path):
+    spark.createDataFrame([(0, 1, 1.5), (400_011, 1, 2.5), (400_050, 1, 3.5), (7, 2, 4.5)], "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = stream_mailbox(spark, str(tmp_path))
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    assert out.count() == 10_001 and [tuple(r) for r in out.orderBy("tick").tail(2)] == [(1, 400_000, 1.5, 9_999), (1, 400_040, 2.5, 0)]
+
+
 def test_only_the_brighter_half_of_a_pair_waits():
     asked = [(8, 1), (8, 2), (16, 2), (8, 4), (9, 9), (8, 4), (8, 4), (16, 2), (16, 2), (16, 2)]
     _, out = over(steps.deferred_write(2), [{"t": k, "exposure": e, "gain": g} for k, (e, g) in enumerate(asked)])
@@ -79,6 +127,12 @@ def test_a_silent_side_doesnt_fill_the_state():
     assert out == [] and len(state[0]) <= 3
 
 
+def test_a_stream_puts_out_a_long_gap(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 250_005, 2.0), ("a", 250_010, 3.0)], "rig string, t long, v double")
+    got = play(spark, df, lambda s: S.fold_stream(s, key="rig", order="t", step=steps.mailbox(10), schema="tick long, v double, sent long"), tmp_path)
+    assert got == [("a", 10 * k, 1.0, k - 1) for k in range(1, 25_001)] + [("a", 250_010, 2.0, 0)]
+
+
 @pytest.mark.parametrize("name", ["pair", "exposure"])
 def test_stream_equals_table(spark, tmp_path, name):
     step, schema = CASES[name]
