@@ -113,10 +113,13 @@ def mailbox_table(df: DataFrame, *, key: str, order: str, value: str, period: in
     """
     rows = df.select(F.col(key), F.col(order).cast("long").alias("__t"), F.col(value).alias(value)).dropna(subset=[key, "__t"])
     rows = rows.withColumn("__b", F.floor(F.col("__t") / F.lit(period * block)))
+    # A few rows may put out a lot: as many parts as named here aren't joined by their size.
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     over, inside = Window.partitionBy(key).orderBy("__b"), Window.partitionBy(key, "__b").orderBy("__t")
     lows = rows.groupBy(key, "__b").agg(F.min("__t").alias("__lo"))
     lows = lows.select(key, "__b", F.lead("__lo").over(over).alias("__cn"), F.first("__lo").over(over).alias("__first"))
-    rows = rows.join(lows, [key, "__b"]).withColumn("__next", F.coalesce(F.lead("__t").over(inside), F.col("__cn")))
+    rows = rows.repartition(parts, key, "__b").join(lows, [key, "__b"]).withColumn("__next", F.coalesce(F.lead("__t").over(inside), F.col("__cn")))
     ticks = lambda t: F.expr(f"({t} - __first) div {period}")
     rows = rows.select(key, value, "__first", ticks("__t").alias("__k"), (ticks("__next") - ticks("__t")).alias("__n")).where("__n > 0")
     rows = rows.select("*", F.explode_outer(F.expr(f"sequence(0, (__n - 1) div {block})")).alias("__p"))
