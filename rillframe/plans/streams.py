@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillframe.plans.registry import Registry
+from rillframe.session import write_steps_small
 from rillframe.sources.tables import table
 from rillframe.streaming import operators as S
 from rillframe.streaming import steps
@@ -68,7 +69,8 @@ with e as ({_EVENTS}), b as (select user_id, min(t) as first, max(t) as last fro
 m as (select k.user_id, tick, e.t, e.v from k asof join e on k.user_id = e.user_id and k.tick > e.t)
 select user_id, tick, v, row_number() over (partition by user_id, t order by tick) - 1 as sent from m""")
 def stream_mailbox(spark: SparkSession, folder: str) -> DataFrame:
-    """The latest value every forty ticks."""
+    """The latest value every forty ticks. Many times what is read comes out: files hold ticks and counts by their differences."""
+    write_steps_small(spark, ["tick", "sent"])
     out = S.mailbox_table(_events(spark, folder), key="user_id", order="t", value="v", period=40)
     return out.withColumn("sent", F.col("sent").cast("int"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillframe.plans.streams import stream_mailbox
+from rillframe.session import write_steps_small
 from rillframe.streaming import operators as S
 from rillframe.streaming import steps
 
@@ -116,6 +117,34 @@ def test_the_query_of_the_mailbox_makes_its_ticks_without_python(spark, tmp_path
     assert out.count() == 10_001 and [tuple(r) for r in out.orderBy("tick").tail(2)] == [(1, 400_000, 1.5, 9_999), (1, 400_040, 2.5, 0)]
 
 
+def test_ticks_take_little_disk(spark, tmp_path):
+    at = [0, 12_000_011, 24_000_050, 40_000_007]
+    spark.createDataFrame([(t, 1, float(k)) for k, t in enumerate(at)], "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    stream_mailbox(spark, str(tmp_path)).write.parquet(out := str(tmp_path / "out"))
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 500_000
+    got = spark.read.parquet(out)
+    want = spark.range(1, 1_000_001).select(
+        F.lit(1).cast("long").alias("user_id"), (F.col("id") * 40).alias("tick"),
+        F.expr("case when id * 40 > 24000050 then 2.0D when id * 40 > 12000011 then 1.0D else 0.0D end").alias("v"),
+        F.expr("cast(id - case when id * 40 > 24000050 then 600002 when id * 40 > 12000011 then 300001 else 1 end as int)").alias("sent"),
+    )
+    assert got.count() == 1_000_000 and got.exceptAll(want).count() == 0
+
+
+def test_what_is_set_for_writing_comes_first(spark):
+    keys = ["parquet.writer.version", "parquet.block.row.count.limit", "parquet.enable.dictionary#tick"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set(keys[0], "PARQUET_1_0")
+        write_steps_small(spark, ["tick"])
+        assert [spark.conf.get(k, None) for k in keys] == ["PARQUET_1_0", "16777216", "false"]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_only_the_brighter_half_of_a_pair_waits():
     asked = [(8, 1), (8, 2), (16, 2), (8, 4), (9, 9), (8, 4), (8, 4), (16, 2), (16, 2), (16, 2)]
     _, out = over(steps.deferred_write(2), [{"t": k, "exposure": e, "gain": g} for k, (e, g) in enumerate(asked)])
